@@ -200,8 +200,6 @@ def _single_windows(window: int):
 
 
 def _cut(window: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = tk.string_buffers(b.column("text"))
@@ -224,7 +222,8 @@ def _cut(window: int):
                     removed.append(z - a - len(stay))
                     kept.append(b" ".join(words.data[words.start[i] : words.end[i]].tobytes() for i in stay.tolist()))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").slice(lo, hi - lo), b.column("row").slice(lo, hi - lo), pa.array(words.counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], schema=schema
+                    [b.column("doc_id").slice(lo, hi - lo), b.column("carried").slice(lo, hi - lo), pa.array(words.counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
+                    names=["doc_id", "carried", "n_words", "n_removed", "kept"],
                 )
 
     return run
@@ -241,21 +240,24 @@ def _join_few(docs: DataFrame, few: DataFrame, column: str, value: str, outer: b
     return some.select(*rest.columns).unionByName(rest)
 
 
-def cut_repeats(documents: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", heavy: int = HEAVY) -> DataFrame:
-    """doc_id, row, n_words, n_removed, kept (the words that stay, joined by one space) for every row.
+def cut_repeats(documents: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", heavy: int = HEAVY, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, carried, n_words, n_removed, kept (the words that stay, joined by one space) for every row.
 
-    `row` is xxhash64 of id and text, which tells rows with one id apart.
+    `carried` is a struct of the columns named in `carry`, unchanged.
     """
     spark = documents.sparkSession
     ship(spark)
-    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    carried = F.struct(*[F.col(c) for c in carry] or [F.lit(True).alias("none")]).alias("carried")
+    whole = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), carried)
+    docs = whole.select("doc_id", "text")
     found = docs.filter("doc_id is not null").mapInArrow(_minimisers(window, gram), "key long, doc_id long")
     shared = found.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("key")
     lists = found.join(shared, "key").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
     lists = staged(lists, "minimisers")
 
-    rows = docs.withColumn("row", F.xxhash64("doc_id", "text"))
-    listed = _join_few(rows.filter("doc_id is not null"), lists, "doc_id", "keys", outer=False).select("doc_id", "row", "text", "keys")
+    # Tells rows with one id apart.
+    rows = whole.withColumn("row", F.xxhash64("doc_id", "text"))
+    listed = _join_few(rows.filter("doc_id is not null").select("doc_id", "row", "text"), lists, "doc_id", "keys", outer=False).select("doc_id", "row", "text", "keys")
     runs = staged(listed.mapInArrow(_packed(window, gram), "key long, p1 long, p2 long, doc_id long, row long, first int, packed binary, copies boolean"), "runs")
 
     strings = runs.filter("packed is not null").select("key", "packed", "doc_id", "copies", "p1", "p2")
@@ -279,4 +281,4 @@ def cut_repeats(documents: DataFrame, window: int = WINDOW, gram: int = GRAM, id
     starts = F.expr("transform(filter(sequence(0, size(least) - 1), k -> least[k] < doc_id), k -> first + k)")
     hits = runs.select("p1", "p2", "doc_id", "row", "first").join(least, ["p1", "p2"]).select("row", starts.alias("starts")).filter(F.size("starts") > 0)
     hits = staged(hits.groupBy("row").agg(F.flatten(F.collect_list("starts")).alias("hits")), "hits")
-    return _join_few(rows, hits, "row", "hits", outer=True).select("doc_id", "row", "text", "hits").mapInArrow(_cut(window), "doc_id long, row long, n_words long, n_removed long, kept string")
+    return _join_few(rows, hits, "row", "hits", outer=True).select("doc_id", "text", "hits", "carried").mapInArrow(_cut(window), f"doc_id long, carried {whole.schema['carried'].dataType.simpleString()}, n_words long, n_removed long, kept string")
