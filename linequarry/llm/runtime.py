@@ -16,9 +16,16 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 16 << 20
 
 
+#: Text in one batch for a Python worker. Spark's own limit counts rows alone, whatever their length.
+ARROW_BATCH = "3m"
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers, once per Spark context."""
+    """Make this package importable in the Python workers, once per Spark context, and bound their batches."""
     sc = spark.sparkContext
+    if spark.conf.get(_BATCH_SETTING, None) in (None, "67108864", "67108864b", "64MB"):
+        spark.conf.set(_BATCH_SETTING, ARROW_BATCH)
     if getattr(sc, "_linequarry_shipped", False):
         return
     root = Path(__file__).resolve().parents[1]
@@ -87,5 +94,18 @@ def shuffle_parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def key_order(df: DataFrame, wanted: list[str]) -> DataFrame:
-    return df.select(*wanted)
+def spread_keys(spark: SparkSession, n: int) -> list[int]:
+    """n integers that hash partitioning deals to n different partitions, in the order of the partitions."""
+    found: dict[int, int] = {}
+    tried = 32 * n
+    rows = spark.range(tried).select(F.col("id").cast("int").alias("key"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("at"))
+    for r in rows.groupBy("at").agg(F.min("key").alias("key")).collect():
+        found[r["at"]] = r["key"]
+    # For a partition that no tried key reaches any other new key will do.
+    return [found.get(i, tried + i) for i in range(n)]
+
+
+def spread(spark: SparkSession, part: Column, n: int) -> Column:
+    """A key for part numbers 0..n-1 that gives each part a partition of its own."""
+    keys = spread_keys(spark, n)
+    return F.element_at(F.array(*[F.lit(k) for k in keys]), part.cast("int") + 1)

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _MULT_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))

@@ -22,6 +22,8 @@ writes no file and gives an empty result.
 
 from __future__ import annotations
 
+import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -34,16 +36,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .runtime import id_splits, new_folder, range_of, ship, shuffle_parts
+from .runtime import id_splits, new_folder, range_of, ship, shuffle_parts, spread
 
 SEQUENCE = 1024
 #: Sequences in a record batch.
 BATCH = 256
 END_ID = 1
-#: Pieces that a worker remembers with their ids.
-CACHE_ENTRIES = 500_000
+#: Pieces in each of the two generations that a worker remembers with their ids.
+CACHE_ENTRIES = 80_000
 #: Pieces in one call of the library.
-CALL = 20_000
+CALL = 4000
+#: Pieces that are one pre-token for certain: nothing but letters up to U+00FF, in UTF-8.
+_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[97:123] = True
@@ -79,22 +83,54 @@ class Encoder:
     """Ids of texts, each distinct piece encoded once while the memory of pieces is bounded."""
 
     def __init__(self, spec: str):
+        # A task has one core; the library's own threads would take those of other tasks.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        os.environ["RAYON_NUM_THREADS"] = "1"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.encode_special_tokens = True
         self.type = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def _keep(self, pieces: list[bytes], ids: np.ndarray, edges: np.ndarray) -> None:
+        raw = ids.tobytes()
+        edges = (edges * self.type.itemsize).tolist()
+        self.known.update(zip(pieces, map(raw.__getitem__, map(slice, edges[:-1], edges[1:])), strict=True))
 
     def _learn(self, pieces: list[bytes]) -> None:
-        for k in range(0, len(pieces), CALL):
-            part = pieces[k : k + CALL]
+        plain = [p for p in pieces if _PLAIN(p)]
+        other = [p for p in pieces if not _PLAIN(p)]
+        for k in range(0, len(plain), CALL):
+            part = plain[k : k + CALL]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, self.type)
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) == len(part):
+                self._keep(part, ids, np.concatenate([[0], ends]))
+            else:
+                # A vocabulary without word ends: have the library count.
+                other += part
+        for k in range(0, len(other), CALL):
+            part = other[k : k + CALL]
             made = self.tokenizer.encode([p.decode() for p in part], is_pretokenized=True, add_special_tokens=False)
             counts = np.bincount(np.array(made.word_ids, np.int64), minlength=len(part)) if made.ids else np.zeros(len(part), np.int64)
-            edges = (np.concatenate([[0], np.cumsum(counts)]) * self.type.itemsize).tolist()
-            raw = np.array(made.ids, self.type).tobytes()
-            for p, a, b in zip(part, edges[:-1], edges[1:], strict=True):
-                self.known[p] = raw[a:b]
+            self._keep(part, np.array(made.ids, self.type), np.concatenate([[0], np.cumsum(counts)]))
+
+    def _ids_of(self, pieces: list[bytes]) -> list[bytes]:
+        if len(self.known) > CACHE_ENTRIES:
+            # Pieces that are still in use come over from the older generation one by one.
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        missing = [p for p in pieces if p not in known]
+        if older:
+            known.update({p: older[p] for p in missing if p in older})
+            missing = [p for p in missing if p not in older]
+        self._learn(missing)
+        return list(map(known.__getitem__, pieces))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the rows lo..hi of a string column one after the other, and the count of each row."""
@@ -104,12 +140,7 @@ class Encoder:
         _, where, which = np.unique(pieces.hashes(), return_index=True, return_inverse=True)
         text = pieces.data.tobytes()
         names = [text[a:b] for a, b in zip(pieces.start[where].tolist(), pieces.end[where].tolist(), strict=True)]
-        new = [p for p in names if p not in self.known]
-        if len(self.known) + len(new) > CACHE_ENTRIES:
-            self.known.clear()
-            new = names
-        self._learn(new)
-        each = [self.known[p] for p in names]
+        each = self._ids_of(names)
         size = np.fromiter(map(len, each), np.int64, len(each)) // self.type.itemsize
         flat = np.frombuffer(b"".join(each), self.type)
         begin = (np.cumsum(size) - size)[which]
@@ -157,7 +188,8 @@ class SequenceWriter:
 
     def _flush(self, last: bool) -> None:
         ids = np.concatenate(self.held) if self.held else np.zeros(0, self.type)
-        rows = -(-len(ids) // self.length) if last else len(ids) // self.length
+        # All batches but a file's last are full, so that a sequence's number tells its batch.
+        rows = -(-len(ids) // self.length) if last else len(ids) // (BATCH * self.length) * BATCH
         used = min(len(ids), rows * self.length)
         for r in range(0, rows, BATCH):
             part = ids[r * self.length : min(used, (r + BATCH) * self.length)]
@@ -230,7 +262,8 @@ def write(documents: DataFrame, tokenizer_path: str, folder: str | None = None,
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     parts = shuffle_parts(spark)
     dealt = docs.withColumn("part", range_of(F.col("doc_id"), id_splits(docs.select("doc_id"), "doc_id", parts)).cast("int"))
-    ordered = dealt.repartition(parts, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
+    dealt = dealt.withColumn("at", spread(spark, F.col("part"), parts))
+    ordered = dealt.repartition(parts, "at").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
     files = ordered.select("part", "doc_id", "text").mapInArrow(_writing(spec, folder, length, end_id), "part int, file string, n_docs long, n_tokens long")
     manifest, start = [], 0
     for r in sorted(files.collect(), key=lambda r: r["part"]):
@@ -263,6 +296,8 @@ class SequenceReader:
             at = start % width
             # The buffer holds the sequences of a batch one after the other.
             got = batch.column(0).values.to_numpy()[at : at + count]
+            if not len(got):
+                raise ValueError("a document's tokens end beyond its file")
             out.append(got)
             start, count = start + len(got), count - len(got)
         return out[0] if len(out) == 1 else np.concatenate(out) if out else np.zeros(0, np.uint16)
