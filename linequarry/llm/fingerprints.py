@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .runtime import broadcast_if_small, id_splits, range_of, shuffle_parts, staged
+from .runtime import broadcast_if_small, id_splits, range_of, shuffle_parts, spread, staged
 
 #: White space as Unicode lists it (fixed values), written as a Java character class.
 _BLANK = r"[\u0009-\u000D\u001C-\u0020\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
@@ -76,7 +76,8 @@ def with_next(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ids = docs.select("doc_id")
-    splits = id_splits(ids, "doc_id", shuffle_parts(documents.sparkSession))
+    spark = documents.sparkSession
+    splits = id_splits(ids, "doc_id", shuffle_parts(spark))
     part = range_of(F.col("doc_id"), splits)
     tops = {r["part"]: r["top"] for r in ids.groupBy(part.alias("part")).agg(F.max("doc_id").alias("top")).collect()}
     order = sorted(tops)
@@ -93,6 +94,7 @@ def with_next(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     else:
         places = F.array(own)
     dealt = docs.withColumn("at", F.explode(places)).select("doc_id", "text", "at.part", "at.copy")
+    dealt = dealt.withColumn("part", spread(spark, F.col("part"), shuffle_parts(spark)))
     follow = W.partitionBy("part").orderBy("copy", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), "text")
     return dealt.withColumn("next", F.lead("text").over(follow)).filter("copy = 0").select("doc_id", "text", "next")
 

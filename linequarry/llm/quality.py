@@ -104,15 +104,24 @@ class Block:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int, list, list[bytes]]]:
-    """(language id, document ids, texts) of at most `size` bytes, or one longer text."""
+    """(language id, document ids, texts) of about `size` bytes, gathered over batches; a long text may make one alone."""
+    held: dict[int, tuple[list, list[bytes]]] = {}
+    used: dict[int, int] = {}
     for b in batches:
-        langs = b.column("lang_id").to_numpy()
-        for lang in np.unique(langs).tolist():
-            rows = b.filter(pa.array(langs == lang))
-            data, offsets = tk.string_buffers(rows.column("text"))
-            for lo, hi in tk.row_chunks(offsets, size):
-                texts = [data[x:y].tobytes() for x, y in zip(offsets[lo:hi].tolist(), offsets[lo + 1 : hi + 1].tolist(), strict=True)]
-                yield lang, rows.column("doc_id").slice(lo, hi - lo).to_pylist(), texts
+        data, offsets = tk.string_buffers(b.column("text"))
+        places = offsets.tolist()
+        for lang, doc_id, x, y in zip(b.column("lang_id").to_pylist(), b.column("doc_id").to_pylist(), places[:-1], places[1:], strict=True):
+            ids, texts = held.setdefault(lang, ([], []))
+            ids.append(doc_id)
+            texts.append(data[x:y].tobytes())
+            used[lang] = used.get(lang, 0) + y - x
+            # However many languages there are, what waits stays bounded.
+            if used[lang] >= size or sum(used.values()) >= 2 * size:
+                most = max(used, key=lambda k: used[k])
+                yield most, *held.pop(most)
+                used.pop(most)
+    for lang in sorted(held):
+        yield lang, *held[lang]
 
 
 def _name(lang: int, ids: list, texts: list[bytes]) -> int:

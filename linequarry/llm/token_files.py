@@ -43,7 +43,7 @@ SEQUENCE = 1024
 BATCH = 256
 END_ID = 1
 #: Pieces in each of the two generations that a worker remembers with their ids.
-CACHE_ENTRIES = 80_000
+CACHE_ENTRIES = 150_000
 #: Pieces in one call of the library.
 CALL = 4000
 #: Pieces that are one pre-token for certain: nothing but letters up to U+00FF, in UTF-8.

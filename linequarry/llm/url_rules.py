@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import ship, shuffle_parts
+from .runtime import ship, shuffle_parts, spread
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Keys looked at to place the cut points; they affect balance only, never results.
@@ -178,5 +178,5 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     deal_pages, deal_rules = _dealer(cuts)
     schema = "task int, key string, is_page boolean, row_id long, host string, path string, rule_verdict string"
     both = left.mapInArrow(deal_pages, schema).unionByName(right.mapInArrow(deal_rules, schema))
-    ordered = both.repartition(parts, "task").sortWithinPartitions("task", "key", "is_page")
+    ordered = both.withColumn("at", spread(spark, F.col("task"), parts)).repartition(parts, "at").drop("at").sortWithinPartitions("task", "key", "is_page")
     return ordered.mapInArrow(_sweep(default), "page_id long, host string, path string, rule string, verdict string")
