@@ -20,7 +20,6 @@ empty result. Nothing is cut, whatever the length.
 from __future__ import annotations
 
 import base64
-import hashlib
 import heapq
 from collections.abc import Iterable, Iterator
 
@@ -36,7 +35,7 @@ from .runtime import ship
 #: Bytes from which a pre-token gets a queue of its own.
 LONG = 512
 #: Pre-tokens that a worker remembers with their ids.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 150_000
 _NONE = np.int32(np.iinfo(np.int32).max)
 
 
@@ -249,20 +248,10 @@ class Encoder:
         return [b"".join(map(look, pieces)) for pieces in cut]
 
 
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
-
-
-def _encoder(ranks, name: str, pattern: str) -> Encoder:
-    # One per worker and vocabulary, whatever the number of tasks.
-    if (name, pattern) not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[name, pattern] = Encoder(Merges(ranks.value), pattern)
-    return _ENCODERS[name, pattern]
-
-
-def _encoding(ranks, name: str, pattern: str):
+def _encoding(ranks, pattern: str):
+    @tk.worker_task
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(ranks, name, pattern)
+        encoder = Encoder(Merges(ranks.value), pattern)
         for b in batches:
             texts = b.column("text")
             _, offsets = tk.string_buffers(texts)
@@ -274,6 +263,7 @@ def _encoding(ranks, name: str, pattern: str):
 
 
 def _decoding(ranks):
+    @tk.worker_task
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = {r: t for t, r in ranks.value.items()}.__getitem__
         for b in batches:
@@ -289,11 +279,9 @@ def encode(documents: DataFrame, ranks_path: str, pattern: str, id_col: str = "d
     """doc_id, n_tokens, ids (binary: little-endian unsigned 32-bit integers) of every row."""
     spark = documents.sparkSession
     ship(spark)
-    table = read_ranks(ranks_path)
-    name = hashlib.sha256(repr(sorted(table.items())).encode()).hexdigest()
-    ranks = spark.sparkContext.broadcast(table)
+    ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return docs.mapInArrow(_encoding(ranks, name, pattern), "doc_id long, n_tokens long, ids binary")
+    return docs.mapInArrow(_encoding(ranks, pattern), "doc_id long, n_tokens long, ids binary")
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:

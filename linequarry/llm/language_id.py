@@ -160,6 +160,7 @@ def fit(documents: DataFrame, per_lang: int = PER_LANG, longest: int = LONGEST)
 
 
 def _predicting(shared):
+    @tk.worker_task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
         for b in batches:

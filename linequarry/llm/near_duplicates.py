@@ -102,6 +102,7 @@ def most_bits(percent: int) -> int:
 
 
 def _signatures(words: int):
+    @tk.worker_task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, sets in shingle_sets(b.column("text"), words):
@@ -119,6 +120,7 @@ def _signatures(words: int):
 
 
 def _full_sets(words: int):
+    @tk.worker_task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, sets in shingle_sets(b.column("text"), words):

@@ -37,7 +37,7 @@ from . import textkernel as tk
 from .runtime import broadcast_if_small, ship, staged
 
 ORDER = 4
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 FOLDS, HELD_OUT = 5, 0
 HIGH, SLACK, SHRINK = 0.995, 0.25, 200
 #: Trusted documents that a language needs for a model of its own.
@@ -56,51 +56,51 @@ def gram_key(keys: np.ndarray, size: int, lang: int) -> np.ndarray:
 class Block:
     """The k-grams (k up to `order`) that end at each byte of some texts.
 
-    keys[k]: distinct k-grams as big-endian integers, rising; ids[k]: index into them
-    for each place; head[k], tail[k]: index of a k-gram's first and last k - 1 bytes.
+    keys[k]: distinct k-grams as big-endian integers, rising; head[k], tail[k]: index of
+    a k-gram's first and last k - 1 bytes; ids: index of the longest gram that ends at
+    each place. Texts have order - 1 line feeds before them.
     """
 
     def __init__(self, texts: list[bytes], order: int):
         gap = bytes([_PAD]) * (order - 1)
         data = np.frombuffer(gap + gap.join(texts) + gap, np.uint8)
-        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        # Place of each text's first byte.
-        self.begin = np.cumsum(sizes + order - 1) - sizes
-        self.sizes, self.order = sizes, order
+        self.sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        # Index into ids of each text's first byte.
+        self.begin = np.cumsum(self.sizes + order - 1) - self.sizes - (order - 1)
+        self.order = order
         used = np.flatnonzero(np.bincount(data, minlength=256))
         code = np.zeros(256, np.int32)
         code[used] = np.arange(len(used), dtype=np.int32)
         c, n_codes = code[data], len(used)
-        self.keys, self.ids, self.head = [np.zeros(1, np.int64), used.astype(np.int64)], [None, c], [None, np.zeros(n_codes, np.int64)]
+        del data
+        self.keys, self.head, ids = [np.zeros(1, np.int64), used.astype(np.int64)], [None, np.zeros(n_codes, np.int64)], c
         for k in range(2, order + 1):
-            pair = self.ids[k - 1][:-1] * np.int32(n_codes) + c[k - 1 :]
+            pair = ids[:-1] * np.int32(n_codes)
+            pair += c[k - 1 :]
             seen = np.zeros(len(self.keys[k - 1]) * n_codes, dtype=bool)
             seen[pair] = True
             distinct = np.flatnonzero(seen)
-            rank = (np.cumsum(seen) - 1).astype(np.int32)
-            self.ids.append(rank[pair])
+            rank = np.cumsum(seen, dtype=np.int32)
+            rank -= 1
+            ids = rank[pair]
             self.head.append(distinct // n_codes)
             self.keys.append(self.keys[k - 1][distinct // n_codes] << 8 | used[distinct % n_codes])
+        self.ids = ids
         self.tail = [None, np.zeros(n_codes, np.int64)] + [np.searchsorted(self.keys[k - 1], self.keys[k] & ((1 << 8 * (k - 1)) - 1)) for k in range(2, order + 1)]
 
-    def real(self) -> np.ndarray:
-        """Index into ids[order] of every byte of a text, text by text."""
-        total = np.cumsum(self.sizes)
-        at = np.arange(int(total[-1]) if len(total) else 0)
-        return at + np.repeat(self.begin - (total - self.sizes), self.sizes) - (self.order - 1)
-
     def counts(self) -> np.ndarray:
-        return np.bincount(self.ids[self.order][self.real()], minlength=len(self.keys[self.order]))
+        """How often each of keys[order] ends at a byte of a text."""
+        n = len(self.keys[self.order])
+        gaps = np.concatenate([self.begin[1:, None] - np.arange(1, self.order), self.begin[-1:, None] + self.sizes[-1:, None] + np.arange(self.order - 1)]) if len(self.begin) else np.zeros((0, 1), np.int64)
+        return np.bincount(self.ids, minlength=n) - np.bincount(self.ids[gaps.ravel()], minlength=n)
 
     def bits(self, alpha: list[np.ndarray], gamma: list[np.ndarray]) -> np.ndarray:
         """Bits of each text under a model; alpha and gamma are aligned with keys."""
         p = np.full(1, 1 / 256)
         for k in range(1, self.order + 1):
             p = alpha[k] + gamma[k - 1][self.head[k]] * p[self.tail[k]]
-        cost = -np.log2(np.maximum(p, 1e-30))[self.ids[self.order][self.real()]]
-        total = np.concatenate([[0.0], np.cumsum(cost)])
-        ends = np.cumsum(self.sizes)
-        return total[ends] - total[ends - self.sizes]
+        cost = -np.log2(np.maximum(p, 1e-30))
+        return np.array([cost[self.ids[b : b + n]].sum() for b, n in zip(self.begin.tolist(), self.sizes.tolist(), strict=True)])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int, list, list[bytes]]]:
@@ -132,6 +132,7 @@ def _name(lang: int, ids: list, texts: list[bytes]) -> int:
 
 
 def _counting(order: int, size: int, pooled: bool):
+    @tk.worker_task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, _, texts in _blocks(batches, size):
             block = Block(texts, order)
@@ -144,6 +145,7 @@ def _counting(order: int, size: int, pooled: bool):
 
 
 def _asking(order: int, size: int):
+    @tk.worker_task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, ids, texts in _blocks(batches, size):
             block = Block(texts, order)
@@ -154,6 +156,7 @@ def _asking(order: int, size: int):
 
 
 def _packing(size: int):
+    @tk.worker_task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, ids, texts in _blocks(batches, size):
             blob = zstandard.ZstdCompressor(level=3).compress(b"".join(texts))

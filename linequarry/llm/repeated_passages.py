@@ -69,6 +69,7 @@ class _Runs:
 
 
 def _minimisers(window: int, gram: int):
+    @tk.worker_task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = tk.string_buffers(b.column("text"))
@@ -83,6 +84,7 @@ def _minimisers(window: int, gram: int):
 def _packed(window: int, gram: int):
     schema = pa.schema([("key", pa.int64()), ("p1", pa.int64()), ("p2", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int64()), ("first", pa.int32()), ("packed", pa.binary()), ("copies", pa.bool_())])
 
+    @tk.worker_task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = tk.string_buffers(b.column("text"))
@@ -161,6 +163,7 @@ def _buckets(window: int):
     def emit(strings: list[tuple[bytes, int, bool]]) -> list[tuple]:
         return [(*np.frombuffer(xxhash.xxh3_128_digest(t), np.int64).tolist(), v) for t, v in least_ids(strings, window).items()]
 
+    @tk.worker_task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("p1", pa.int64()), ("p2", pa.int64()), ("least", pa.list_(pa.int64()))])
         held: list[tuple[bytes, int, bool]] = []
@@ -185,6 +188,7 @@ def _buckets(window: int):
 
 
 def _single_windows(window: int):
+    @tk.worker_task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 256):
@@ -200,6 +204,7 @@ def _single_windows(window: int):
 
 
 def _cut(window: int):
+    @tk.worker_task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = tk.string_buffers(b.column("text"))

@@ -10,7 +10,10 @@ ASCII, so cutting the bytes and cutting the code points give the same words.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +32,31 @@ _LOWER[65:91] += 32
 _POWERS: dict[str, np.ndarray] = {}
 
 
+def release() -> None:
+    """Give memory that is no longer used back to the system; Spark keeps its workers for later tasks."""
+    _POWERS.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        # Another C library: it keeps what it has.
+        return
+
+
+def worker_task(run: Callable) -> Callable:
+    """A function over batches that tidies its worker when its task ends."""
+
+    @functools.wraps(run)
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return tidy
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads the bits of each 64-bit value (bijective)."""
     x = x ^ (x >> np.uint64(30))

@@ -224,6 +224,7 @@ def _with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndar
 
 
 def _writing(spec, folder: str, length: int, end_id: int):
+    @tk.worker_task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, writer, now = _encoder(spec), None, None
         done: list[tuple] = []
@@ -309,6 +310,7 @@ class SequenceReader:
 
 
 def _reading(folder: str):
+    @tk.worker_task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("file", pa.string())])
         for b in batches:

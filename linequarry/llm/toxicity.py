@@ -208,6 +208,7 @@ def fit(documents: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, lon
 
 
 def _scoring(shared):
+    @tk.worker_task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
         for b in batches:

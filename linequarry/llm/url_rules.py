@@ -33,7 +33,7 @@ from .runtime import ship, shuffle_parts, spread
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Keys looked at to place the cut points; they affect balance only, never results.
-SAMPLE_KEYS = 20_000
+SAMPLE_KEYS = 4000
 
 
 def host_of(url: Column) -> Column:
