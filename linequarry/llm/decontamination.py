@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .runtime import broadcast_if_small, staged
 
 #: Places that count (1) and places that are ignored (0); fixed values.
-MASKS = ("1101100101", "1010011011")
+MASKS = ("1101100101", "1010011011", "1110001011")
 STRETCH, SHARE = 13, 0.8
 #: Rows of item hashes in one broadcast: at most 16 MB.
 BLOCK_ROWS = 500_000

@@ -179,7 +179,7 @@ class SequenceWriter:
         self.path = f"{base}/{self.name}"
         self.length, self.type = length, type_
         kind = pa.from_numpy_dtype(type_)
-        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))], {"length": str(length), "end_id": str(end_id)})
+        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))], {"length": str(length), "batch": str(BATCH), "end_id": str(end_id)})
         self.out = self.store.open_output_stream(f"{self.path}.arrow")
         self.writer = pa.ipc.new_file(self.out, self.schema)
         self.held: list[np.ndarray] = []
@@ -281,17 +281,17 @@ class SequenceReader:
         local = isinstance(self.store, pafs.LocalFileSystem)
         opened = [pa.memory_map(f"{base}/{file}{x}") if local else self.store.open_input_file(f"{base}/{file}{x}") for x in (".arrow", ".docs.arrow")]
         self.sequences, self.docs = (pa.ipc.open_file(x) for x in opened)
-        self.length = int(self.sequences.schema.metadata[b"length"])
+        self.length, self.batch = (int(self.sequences.schema.metadata[k]) for k in (b"length", b"batch"))
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and mask of one sequence; the ids are a view of the file."""
-        batch = self.sequences.get_batch(i // BATCH)
-        ids, mask = batch.column(0)[i % BATCH].values, batch.column(1)[i % BATCH].values
+        batch = self.sequences.get_batch(i // self.batch)
+        ids, mask = batch.column(0)[i % self.batch].values, batch.column(1)[i % self.batch].values
         return ids.to_numpy(), mask.to_numpy(zero_copy_only=False)
 
     def span(self, start: int, count: int) -> np.ndarray:
         """Tokens start..start+count of the file's stream."""
-        out, width = [], BATCH * self.length
+        out, width = [], self.batch * self.length
         while count > 0:
             batch = self.sequences.get_batch(start // width)
             at = start % width
