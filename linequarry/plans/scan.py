@@ -75,8 +75,7 @@ def extract(scripts: DataFrame, options: ScanOptions) -> DataFrame:
 def scan(spark: SparkSession, root: str, options: ScanOptions | None = None) -> ScanFrames:
     """All dialogue below a folder."""
     options = options or ScanOptions()
-    listing = loose.files(spark, root).select("rel", "length", F.substring("content", 1, 16).alias("head"))
-    found = [(r["key"], r["score"]) for r in registry.scores(listing).collect()]
+    found = [(r["key"], r["score"]) for r in registry.scores(archives.read_heads(spark, root)).collect()]
     chosen = registry.select_engines(found, options)
     warnings = [] if chosen else ["no engine to read with"]
     every = archives.read_archives(spark, root).unionByName(loose.plain_scripts(spark, root))

@@ -66,6 +66,56 @@ class _Reader(DataSourceReader):
                     yield engine, partition.rel, partition.rel, None, os.path.getsize(partition.path), f"{type(e).__name__}: {e}"
 
 
+class _Files(InputPartition):
+    def __init__(self, files: list[tuple[str, str]]):
+        super().__init__(len(files))
+        self.files = files
+
+
+class _HeadReader(DataSourceReader):
+    #: Files that one task opens.
+    STEP = 1000
+
+    def __init__(self, options: dict):
+        self.root = options["path"]
+
+    def partitions(self) -> list[_Files]:
+        found = []
+        for folder, dirs, files in os.walk(self.root):
+            dirs.sort()
+            found += [(p := os.path.join(folder, f), os.path.relpath(p, self.root).replace(os.sep, "/")) for f in sorted(files)]
+        return [_Files(found[i : i + self.STEP]) for i in range(0, len(found), self.STEP)] or [_Files([])]
+
+    def read(self, partition: _Files) -> Iterator[tuple]:
+        for path, rel in partition.files:
+            try:
+                with open(path, "rb") as f:
+                    yield rel, os.path.getsize(path), f.read(16)
+            except OSError:
+                # A file that cannot be opened speaks for no engine.
+                yield rel, 0, b""
+
+
+class HeadSource(DataSource):
+    """spark.read.format("file_heads").load(root): rel, length, head (first 16 bytes), nothing else is read."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "file_heads"
+
+    def schema(self) -> str:
+        return "rel string, length long, head binary"
+
+    def reader(self, schema) -> _HeadReader:
+        return _HeadReader(dict(self.options))
+
+
+def read_heads(spark: SparkSession, root: str) -> DataFrame:
+    """Listing of a folder that every executor can open."""
+    spark.dataSource.register(HeadSource)
+    return spark.read.format("file_heads").load(root)
+
+
 class ArchiveSource(DataSource):
     """spark.read.format("script_archives").load(root)"""
 

@@ -21,9 +21,18 @@ SKIP_EXT = (
 NSCRIPT_NAMES = ("nscript.dat", "nscript.txt", "nscript.___", "nscript.old", "00.txt", "0.txt", "00_.txt")
 
 
-def files(spark: SparkSession, root: str) -> DataFrame:
-    """path, rel, length, content of all files under a root; content is read only where it is selected."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+def extension_glob(extensions: tuple[str, ...]) -> str:
+    """A file name pattern for extensions in any case."""
+    one = lambda ext: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in ext[1:])
+    return "*.{" + ",".join(map(one, extensions)) + "}"
+
+
+def files(spark: SparkSession, root: str, extensions: tuple[str, ...] = ()) -> DataFrame:
+    """path, rel, length, content of the files under a root; files of other extensions are not opened."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if extensions:
+        reader = reader.option("pathGlobFilter", extension_glob(extensions))
+    df = reader.load(root)
     base = root.rstrip("/")
     rel = F.regexp_replace(F.col("path"), r"\A.*?" + _literal(base.split("://")[-1].removeprefix("file:")) + "/", "")
     return df.select("path", rel.alias("rel"), "length", "content")
@@ -42,7 +51,7 @@ def plain_scripts(spark: SparkSession, root: str, max_file_bytes: int = 16 << 20
     rel, ext = F.col("rel"), clean.extension(F.col("rel"))
     name = F.lower(F.regexp_extract(rel, r"([^/]*)\z", 1))
     engine = F.when(name.isin(*NSCRIPT_NAMES), "nscripter").when(ext.isin(".ks", ".kag", ".tjs"), "kirikiri").when(ext == ".ws2", "bgi").otherwise("plaintext")
-    df = files(spark, root).filter((F.col("length") > 0) & (F.col("length") <= max_file_bytes) & ext.isin(*SCRIPT_EXT) & ~in_skipped_dir(rel)).withColumn("engine", engine)
+    df = files(spark, root, (*SCRIPT_EXT, ".___", ".old")).filter((F.col("length") > 0) & (F.col("length") <= max_file_bytes) & (ext.isin(*SCRIPT_EXT) | name.isin(*NSCRIPT_NAMES)) & ~in_skipped_dir(rel)).withColumn("engine", engine)
     # Hidden scripts and compiled ones are no text yet; their gate is at extraction.
     kept = df.filter(F.col("engine").isin("nscripter", "bgi") | codec.text_like(F.substring("content", 1, 16384)))
     return kept.select("engine", F.col("rel").alias("virtual_path"), F.lit("").alias("container"), F.col("content").alias("data"), F.col("length").alias("size"), F.lit(None).cast("string").alias("error"))
