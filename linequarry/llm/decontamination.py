@@ -79,20 +79,25 @@ def overlaps(
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), tokens(F.col("text")).alias("item")).filter(F.size("item") >= span)
     items = staged(items.withColumn("row", F.monotonically_increasing_id()), "items")
     wanted = _positions(items.select(F.col("row").alias("id"), F.col("item").alias("words")), masks).select(F.col("id").alias("row"), F.col("position").alias("item_position"), "hash")
-    wanted = staged(wanted, "item-seeds")
+    wanted = staged(wanted.join(items.select("row", F.size("item").alias("n_item")), "row"), "item-seeds")
     blocks = max(1, math.ceil(wanted.count() / block_rows))
     # Which block a hash belongs to depends on the hash alone; equal hashes of many items stay together.
     places = _positions(docs.select("id", tokens(F.col("text")).alias("words")), masks)
     found = None
     for b in range(blocks):
         block = F.broadcast(wanted.filter(F.pmod("hash", F.lit(blocks)) == b))
-        hits = places.join(block, "hash").select(F.col("id").alias("doc_id"), "row", (F.col("position") - F.col("item_position")).alias("diagonal"))
+        hits = places.join(block, "hash").select(F.col("id").alias("doc_id"), "row", (F.col("position") - F.col("item_position")).alias("diagonal"), "n_item")
         found = hits if found is None else found.unionByName(hits)
     found = staged(found.distinct(), "hits")
-    near = broadcast_if_small(found, 32)
-    laid = docs.withColumnRenamed("id", "doc_id").join(near, "doc_id").select("doc_id", "row", "diagonal", tokens(F.col("text")).alias("words"))
+    # A text meets its hits in one row and only its tokens under an item travel on: a text of
+    # one repeated phrase has a hit at every place.
+    of_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("row", "diagonal", "n_item")).alias("hits"))
+    some = docs.withColumnRenamed("id", "doc_id").join(broadcast_if_small(found.select("doc_id").distinct(), 16), "doc_id", "left_semi").join(of_doc, "doc_id")
+    some = some.withColumn("split", F.array(tokens(F.col("text"))))
+    under = "struct(h.row as row, h.diagonal as diagonal, greatest(-h.diagonal, 0) as skip, slice(w, greatest(h.diagonal, 0) + 1, greatest(h.n_item - greatest(-h.diagonal, 0), 0)) as part)"
+    laid = some.select("doc_id", F.explode(F.expr(f"transform(split, w -> transform(hits, h -> {under}))[0]")).alias("h")).select("doc_id", "h.*")
     laid = laid.join(broadcast_if_small(items, 1024), "row")
-    laid = laid.withColumn("equal", F.expr("transform(sequence(0, size(item) - 1), j -> case when j + diagonal >= 0 and j + diagonal < size(words) and get(words, j + diagonal) = item[j] then 1 else 0 end)"))
+    laid = laid.withColumn("equal", F.expr("transform(sequence(0, size(item) - 1), j -> case when j >= skip and j - skip < size(part) and get(part, j - skip) = item[j] then 1 else 0 end)"))
     laid = laid.withColumn("width", F.least(F.size("item"), F.lit(stretch)))
     best = "array_max(transform(sequence(1, size(equal) - width + 1), s -> aggregate(slice(equal, s, width), 0, (a, x) -> a + x)))"
     kept = laid.withColumn("best", F.expr(best)).filter(F.col("best") >= F.ceil(F.col("width") * F.lit(share) - 1e-9))
