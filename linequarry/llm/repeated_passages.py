@@ -38,9 +38,9 @@ from .runtime import broadcast_if_small, ship, shuffle_parts, staged
 
 WINDOW, GRAM = 50, 20
 #: Longest run in windows; texts that repeat one word would else give runs without end.
-MAX_RUN = 128
+MAX_RUN = 32
 #: Strings in a bucket above which it is split into windows.
-HEAVY = 2000
+HEAVY = 500
 ID_BROADCAST = 64 << 20
 
 
@@ -90,7 +90,7 @@ def _packed(window: int, gram: int):
             data, offsets = tk.string_buffers(b.column("text"))
             ids, rows = b.column("doc_id").to_numpy(), b.column("row").to_numpy()
             keys = b.column("keys")
-            for lo, hi in tk.row_chunks(offsets, 4 * tk.CHUNK_BYTES):
+            for lo, hi in tk.row_chunks(offsets):
                 words = tk.Words(data, offsets, lo, hi)
                 runs = _Runs(words, window, gram)
                 out: list[tuple] = []
@@ -209,7 +209,7 @@ def _cut(window: int):
         for b in batches:
             data, offsets = tk.string_buffers(b.column("text"))
             hits = b.column("hits")
-            for lo, hi in tk.row_chunks(offsets, 4 * tk.CHUNK_BYTES):
+            for lo, hi in tk.row_chunks(offsets):
                 words = tk.Words(data, offsets, lo, hi)
                 removed, kept = [], []
                 for d in range(hi - lo):
