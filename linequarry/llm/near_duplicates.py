@@ -1,9 +1,11 @@
 """Near-duplicate documents: MinHash bands for candidates, odd sketches and full sets to verify them.
 
-A document is the set of its distinct word shingles (A-Z lower-cased, 64-bit hashes).
-Two documents are linked if 100 * |intersection| >= percent * |union|.
+A document is the set of its distinct word shingles (A-Z lower-cased; a shingle is known by
+64 bits mixed from the xxh3 hashes of its words). Two documents are linked if
+100 * |intersection| >= percent * |union|.
 
-1. Documents with equal sets are one class, represented by its smallest id.
+1. Documents with equal sets are one class; sets are equal if 128 bits of SHA-256 over the
+   whole sorted set are. A class is a node of its own, named by a number, not by an id.
 2. Representatives get BANDS * ROWS MinHash values. Those with an equal band are
    candidates; a pair at the limit of 80 % misses all bands with probability 1e-7.
 3. Candidates that hang together form a group, cut into blocks of BLOCK documents. A
@@ -19,12 +21,15 @@ Two documents are linked if 100 * |intersection| >= percent * |union|.
 
 Defined results: null and empty texts have an empty set and are linked with nothing;
 texts with fewer words than a shingle are one shingle; rows without an id are counted
-but not linked (component null, kept true); rows that repeat an id are one document
-for linking; an empty table gives an empty result.
+but not linked (component null, kept true); rows that repeat an id are one document with
+several texts: what one text links to, all reach, and each row has its own n_shingles; an
+empty table gives an empty result. Very long texts are taken in spans, their sets whole.
+Other columns of the table, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -35,7 +40,7 @@ from pyspark.sql import functions as F
 
 from . import textkernel as tk
 from .graph import components
-from .runtime import broadcast_if_small, ship, shuffle_parts, staged
+from .runtime import broadcast_if_small, discard, join_counted, ship, shuffle_parts, staged
 
 BANDS, ROWS = 40, 5
 SKETCH_WORDS = 16
@@ -50,10 +55,30 @@ def _coefficients() -> tuple[np.ndarray, np.ndarray]:
     return base[:_SAMPLES] | np.uint64(1), base[_SAMPLES:]
 
 
+def _long_set(data: np.ndarray, begin: int, end: int, words: int) -> np.ndarray:
+    """The set of one long text, gathered over its spans."""
+    found, tail = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    held: list[np.ndarray] = []
+    for a, z in tk.spans(data, begin, end):
+        tail = np.concatenate([tail, tk.Words(data, np.array([a, z]), 0, 1, lower=True).hashes()])
+        if len(tail) >= words:
+            held.append(np.unique(tk.gram_hashes(tail, words) ^ np.uint64(words)))
+            tail = tail[len(tail) - words + 1 :]
+        if sum(map(len, held)) > max(1 << 20, len(found)):
+            found, held = np.unique(np.concatenate([found, *held])), []
+    found = np.unique(np.concatenate([found, *held]))
+    if not len(found) and len(tail):
+        return tk.gram_hashes(tail, len(tail)) ^ np.uint64(len(tail))
+    return found
+
+
 def shingle_sets(column: pa.Array, words: int) -> Iterator[tuple[int, list[np.ndarray]]]:
     """(first row, sorted distinct shingle hashes of each row from there on), in bounded chunks."""
     data, offsets = tk.string_buffers(column)
     for lo, hi in tk.row_chunks(offsets):
+        if tk.is_long(offsets, lo, hi):
+            yield lo, [_long_set(data, int(offsets[lo]), int(offsets[hi]), words)]
+            continue
         w = tk.Words(data, offsets, lo, hi, lower=True)
         h = w.hashes()
         g = tk.gram_hashes(h, words) ^ np.uint64(words)
@@ -68,6 +93,12 @@ def shingle_sets(column: pa.Array, words: int) -> Iterator[tuple[int, list[np.nd
         yield lo, sets
 
 
+def set_digest(shingles: np.ndarray) -> tuple[int, int]:
+    """128 bits of SHA-256 over a sorted set, as two signed integers."""
+    one, two = np.frombuffer(hashlib.sha256(shingles.tobytes()).digest(), np.int64, 2)
+    return int(one), int(two)
+
+
 def minhash(shingles: np.ndarray, step: int = 40) -> np.ndarray:
     """BANDS * ROWS MinHash values of a non-empty set."""
     mult, add = _coefficients()
@@ -107,12 +138,10 @@ def _signatures(words: int):
         for b in batches:
             for lo, sets in shingle_sets(b.column("text"), words):
                 n = [len(s) for s in sets]
-                with np.errstate(over="ignore"):
-                    one = [int(s.sum(dtype=np.uint64)) for s in sets]
-                    two = [int(tk.mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)) for s in sets]
+                one, two = zip(*map(set_digest, sets), strict=True)
                 keys = [band_keys(minhash(s)) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").slice(lo, len(sets)), pa.array(n, pa.int64()), pa.array(np.array(one, np.uint64).view(np.int64)), pa.array(np.array(two, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))],
+                    [b.column("doc_id").slice(lo, len(sets)), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
                     names=["doc_id", "n", "d1", "d2", "keys"],
                 )
 
@@ -125,9 +154,10 @@ def _full_sets(words: int):
         for b in batches:
             for lo, sets in shingle_sets(b.column("text"), words):
                 samples = [minhash(s) if len(s) else np.zeros(_SAMPLES, np.uint64) for s in sets]
+                one, two = zip(*map(set_digest, sets), strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").slice(lo, len(sets)), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([band_keys(s).tobytes() for s in samples], pa.binary()), pa.array([odd_sketch(s).tobytes() for s in samples], pa.binary())],
-                    names=["node", "shingles", "bands", "sketch"],
+                    [b.column("doc_id").slice(lo, len(sets)), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([band_keys(s).tobytes() for s in samples], pa.binary()), pa.array([odd_sketch(s).tobytes() for s in samples], pa.binary())],
+                    names=["doc_id", "d1", "d2", "shingles", "bands", "sketch"],
                 )
 
     return run
@@ -206,26 +236,36 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, id_
     ship(spark)
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = staged(docs.mapInArrow(_signatures(words), "doc_id long, n long, d1 long, d2 long, keys array<long>"), "signatures")
+    parts = shuffle_parts(spark)
     same = signed.filter("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min(F.struct("doc_id", "keys")).alias("m"))
-    same = staged(same.select("n", "d1", "d2", F.col("m.doc_id").alias("node"), F.col("m.keys").alias("keys")), "classes")
-
-    banded = same.select("node", F.explode("keys").alias("key"))
-    shared = banded.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("size")).filter("size > 1").drop("size")
-    members = staged(banded.join(shared, "key"), "bands")
-    groups = components(members.select(F.col("hub").alias("a"), F.col("node").alias("b")))
+    # Numbers are given while the table is written, so every later read sees the same ones.
+    same = staged(same.select("n", "d1", "d2", F.col("m.doc_id").alias("doc_id"), F.col("m.keys").alias("keys")).withColumn("node", F.monotonically_increasing_id()), "classes")
+    # An id with several texts ties their classes together.
+    several = staged(signed.filter("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.expr("min(d1) < max(d1) or min(d2) < max(d2)").alias("apart")).filter("rows > 1"), "repeated-ids")
+    repeated, apart = several.agg(F.count("*"), F.count_if("apart")).first()
+
+    banded = staged(same.select("node", F.explode("keys").alias("key")), "banded")
+    shared = staged(banded.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("size")).filter("size > 1"), "hubs")
+    members = staged(join_counted(banded, shared, ["key"], "size", parts), "bands")
+    discard(banded, shared)
+    groups = staged(components(members.select(F.col("hub").alias("a"), F.col("node").alias("b"))), "groups")
 
     # Blocks: the order in a group follows the smallest hub, so that blocks share few bands.
-    sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
-    places = groups.join(sizes, "component").select("node", F.col("component").alias("grp"), "size")
+    sizes = staged(groups.groupBy("component").agg(F.count("*").alias("size")).withColumn("rows", F.col("size")), "sizes")
+    places = join_counted(groups, sizes, ["component"], "rows", parts).select("node", F.col("component").alias("grp"), "size")
     near = members.groupBy("node").agg(F.min("hub").alias("hub"))
     places = places.join(near, "node")
     wide = places.filter(F.col("size") > BLOCK)
-    spots = wide.withColumn("block", F.pmod(F.xxhash64("hub", F.pmod("node", F.lit(64))), F.ceil(F.col("size") / BLOCK)).cast("int"))
+    spots = wide.withColumn("block", F.pmod(F.xxhash64("hub", F.pmod(F.xxhash64("node"), F.greatest(F.lit(64), F.ceil(F.col("size") / BLOCK)))), F.ceil(F.col("size") / BLOCK)).cast("int"))
     placed = places.filter(F.col("size") <= BLOCK).withColumn("block", F.lit(0)).unionByName(spots)
-    placed = staged(placed.select("node", "grp", "size", "block"), "blocks")
-    wanted = broadcast_if_small(placed.select(F.col("node").alias("doc_id")), 16)
-    sets = docs.join(wanted, "doc_id", "left_semi").mapInArrow(_full_sets(words), "node long, shingles binary, bands binary, sketch binary")
-    full = staged(sets.join(placed, "node"), "sets")
+    placed = staged(placed.select("node", "grp", "size", "block").join(same.select("node", "doc_id", "d1", "d2"), "node"), "blocks")
+    wanted = broadcast_if_small(placed.select("doc_id").distinct(), 16)
+    sets = docs.join(wanted, "doc_id", "left_semi").mapInArrow(_full_sets(words), "doc_id long, d1 long, d2 long, shingles binary, bands binary, sketch binary")
+    # The digests pick the right one of the texts of an id.
+    sets = sets.join(placed, ["doc_id", "d1", "d2"]).select("node", "grp", "size", "block", "shingles", "bands", "sketch")
+    if repeated:
+        sets = sets.groupBy("node").agg(*[F.first(c).alias(c) for c in ("grp", "size", "block", "shingles", "bands", "sketch")])
+    full = staged(sets, "sets")
 
     bins = max(1, placed.count() // (BLOCK // 2))
     small = full.filter(F.col("size") <= BLOCK).withColumn("task", F.concat(F.lit("s"), F.pmod(F.xxhash64("grp"), F.lit(bins))))
@@ -238,12 +278,28 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, id_
     linked_to = staged(components(first), "components")
 
     again = _second_round(placed, members, full, linked_to, percent)
-    if again is not None:
-        linked_to = staged(components(first.unionByName(again)), "components")
-    of_node = same.select("n", "d1", "d2", "node").join(linked_to, "node", "left").select("n", "d1", "d2", F.coalesce("component", "node").alias("component_id"))
-    out = signed.select("doc_id", "n", "d1", "d2").join(of_node, ["n", "d1", "d2"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    links = first if again is None else first.unionByName(again)
+    if apart:
+        ids = signed.join(several.filter("apart").select("doc_id"), "doc_id").join(same.select("n", "d1", "d2", "node"), ["n", "d1", "d2"]).select("doc_id", "node").distinct()
+        low = ids.groupBy("doc_id").agg(F.min("node").alias("a"))
+        links = links.unionByName(ids.join(low, "doc_id").select("a", F.col("node").alias("b")))
+    if again is not None or apart:
+        linked_to = staged(components(links), "components")
+    discard(full, members)
+    rooted = staged(same.select("n", "d1", "d2", "doc_id", "node").join(linked_to, "node", "left").withColumn("component", F.coalesce("component", "node")), "rooted")
+    least = staged(rooted.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("size")), "least")
+    of_class = join_counted(rooted, least, ["component"], "size", parts).select("n", "d1", "d2", "component_id")
+    # Classes of very many copies are one key each: those are joined by broadcast.
+    counts = signed.filter("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.count("*").alias("rows"))
+    of_class = staged(of_class.join(counts, ["n", "d1", "d2"]), "component-ids")
+    known = signed.filter("n > 0 and doc_id is not null").select("doc_id", "n", "d1", "d2")
+    out = join_counted(known, of_class, ["n", "d1", "d2"], "rows", parts).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    alone = signed.filter("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    if repeated:
+        # An empty text of an id that has others is the same document as they are.
+        alone = alone.join(out.groupBy("doc_id").agg(F.min("component_id").alias("reached")), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("reached", "component_id").alias("component_id"))
+    out = out.unionByName(alone)
+    return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
 
 
 def _second_round(placed: DataFrame, members: DataFrame, full: DataFrame, linked_to: DataFrame, percent: int) -> DataFrame | None:
@@ -252,8 +308,10 @@ def _second_round(placed: DataFrame, members: DataFrame, full: DataFrame, linked
     if wide.isEmpty():
         return None
     rooted = wide.join(linked_to, "node", "left").select("node", "grp", "block", F.coalesce("component", "node").alias("root"))
-    major = rooted.groupBy("grp", "root").agg(F.count("*").alias("n")).groupBy("grp").agg(F.max_by("root", F.struct("n", "root")).alias("major"))
-    rooted = staged(rooted.join(major, "grp").withColumn("minor", F.col("root") != F.col("major")), "rooted")
+    rooted = staged(rooted, "roots")
+    major = staged(rooted.groupBy("grp", "root").agg(F.count("*").alias("n")).groupBy("grp").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.sum("n").alias("size")), "major")
+    rooted = join_counted(rooted, major, ["grp"], "size", shuffle_parts(placed.sparkSession))
+    rooted = staged(rooted.withColumn("minor", F.col("root") != F.col("major")), "rooted")
     at = members.select("key", "node").join(rooted, "node").groupBy("key", "grp", "block").agg(F.max("minor").alias("minor"))
     one, two = at.alias("x"), at.alias("y")
     # Only blocks that share a band, and of which one holds nodes outside the main component.

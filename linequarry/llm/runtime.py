@@ -41,10 +41,16 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a new one where it is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir.
+
+    Where it is unset, a session on one machine gets a new folder; on a cluster that is an
+    error, because no folder of the driver's machine is there for the executors.
+    """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="linequarry-shared-")
         sc.setCheckpointDir(named)
     return named.rstrip("/")
@@ -70,6 +76,31 @@ def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYT
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
+def join_counted(rows: DataFrame, table: DataFrame, on: list[str], size: str, parts: int) -> DataFrame:
+    """Inner join of rows to a staged table with one row per key and, in `size`, how many rows the key has.
+
+    Keys that have more than a quarter of a partition's share are joined by broadcast, the
+    rest by shuffle, so no key makes a task large. There are at most 4 * parts such keys,
+    whatever the input: that bounds the broadcast. `rows` is read twice and should be staged.
+    """
+    total, most = table.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.max(size), F.lit(0))).first()
+    many = max(200, total // (4 * parts))
+    if most <= many:
+        return rows.join(table.drop(size), on)
+    hot = table.filter(F.col(size) > many).drop(size)
+    cold = table.filter(F.col(size) <= many).drop(size)
+    return rows.join(F.broadcast(hot), on).unionByName(rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on))
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def id_splits(df: DataFrame, column: str, parts: int) -> list[int]:
     """At most parts - 1 increasing values of an integer column that cut it into even ranges.
 

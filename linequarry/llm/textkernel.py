@@ -1,8 +1,9 @@
 """Vectorised word kernels over Arrow string columns.
 
-Everything here works on the raw UTF-8 buffer of an Arrow string column, so no
-Python string is built for a word: word boundaries, 64-bit word hashes and
-hashes of word n-grams are numpy passes over a bounded chunk of documents.
+Everything here works on the raw UTF-8 buffer of an Arrow string column: word boundaries
+and hashes of word n-grams are numpy passes over a bounded chunk of documents, a word's
+hash is 64 bits of xxh3 over its bytes. A text longer than a chunk is taken in spans that
+end at white space, so memory does not grow with the length of a text.
 
 A word is a maximal run of bytes other than 0x20 and 0x09-0x0D. All of these are
 ASCII, so cutting the bytes and cutting the code points give the same words.
@@ -17,11 +18,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 CHUNK_BYTES = 1 << 20
 
-_MULT = np.uint64(0x9E3779B97F4A7C15)
-_MULT_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _GRAM = np.uint64(0xD6E8FEB86659FD93)
 
 _SPACE = np.zeros(256, dtype=bool)
@@ -29,12 +29,9 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
-_POWERS: dict[str, np.ndarray] = {}
-
 
 def release() -> None:
     """Give memory that is no longer used back to the system; Spark keeps its workers for later tasks."""
-    _POWERS.clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:
@@ -67,15 +64,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if "up" not in _POWERS or len(_POWERS["up"]) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        up, down = np.full(size, _MULT), np.full(size, _MULT_INV)
-        up[0] = down[0] = 1
-        _POWERS["up"], _POWERS["down"] = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-    return _POWERS["up"], _POWERS["down"]
-
-
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
@@ -102,6 +90,32 @@ def row_chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[
         lo = hi
 
 
+def _cut(data: np.ndarray, begin: int, end: int, limit: int) -> int:
+    """End of a span of about `limit` bytes from `begin` on: behind a blank, or the end of the text."""
+    at = begin + limit
+    if at >= end:
+        return end
+    tail = np.flatnonzero(_SPACE[data[max(begin, at - 4096) : at]])
+    if len(tail):
+        return max(begin, at - 4096) + int(tail[-1]) + 1
+    while at < end:
+        head = np.flatnonzero(_SPACE[data[at : at + limit]])
+        if len(head):
+            return at + int(head[0]) + 1
+        at += limit
+    return end
+
+
+def spans(data: np.ndarray, begin: int, end: int, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+    """Byte ranges of a text, one after the other, that cut no word; at least one."""
+    while True:
+        stop = _cut(data, begin, end, limit)
+        yield begin, stop
+        if stop >= end:
+            return
+        begin = stop
+
+
 class Words:
     """Words of the rows lo..hi of a string column.
 
@@ -132,16 +146,45 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
-        up, down = _powers(len(self.data) + 1)
-        total = np.zeros(len(self.data) + 1, dtype=np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[: len(self.data)], dtype=np.uint64, out=total[1:])
-        return mix((total[self.end] - total[self.start]) * down[self.start])
+        text = self.data.tobytes()
+        words = map(text.__getitem__, map(slice, self.start.tolist(), self.end.tolist()))
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(self.start))
 
     def text(self, i: int, j: int) -> bytes:
         """Words i..j-1 joined by one space."""
         return b" ".join(self.data[a:b].tobytes() for a, b in zip(self.start[i:j], self.end[i:j], strict=True))
 
 
+def is_long(offsets: np.ndarray, lo: int, hi: int) -> bool:
+    """Is the range of rows from row_chunks one text that is to be taken in spans?"""
+    return int(offsets[hi] - offsets[lo]) > CHUNK_BYTES
+
+
+def word_chunks(data: np.ndarray, offsets: np.ndarray, window: int) -> Iterator[tuple[int, int, int, Words]]:
+    """(lo, hi, k, words): the rows lo..hi whole with k = 0, or a span of one long text from its word k on.
+
+    Spans overlap by window - 1 words, so every run of `window` words lies in exactly one.
+    """
+    for lo, hi in row_chunks(offsets):
+        if not is_long(offsets, lo, hi):
+            yield lo, hi, 0, Words(data, offsets, lo, hi)
+            continue
+        at, end, k, size = int(offsets[lo]), int(offsets[hi]), 0, CHUNK_BYTES
+        while True:
+            stop = _cut(data, at, end, size)
+            words = Words(data, np.array([at, stop]), 0, 1)
+            n = len(words.start)
+            if stop < end and n < 2 * window:
+                # Few, very long words.
+                size *= 2
+                continue
+            yield lo, hi, k, words
+            if stop >= end:
+                break
+            step = n - window + 1
+            at, k, size = at + int(words.start[step]), k + step, CHUNK_BYTES
+
+
 def gram_hashes(words: np.ndarray, size: int) -> np.ndarray:
     """Hash of each run of `size` consecutive values; shorter by size - 1."""
     n = len(words) - size + 1

@@ -8,12 +8,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from linequarry.llm import byte_bpe, decontamination, fingerprints, language_id, near_duplicates, quality, repeated_passages, token_files, toxicity, url_rules
+from linequarry.llm import byte_bpe, decontamination, fingerprints, graph, language_id, near_duplicates, quality, repeated_passages, token_files, toxicity, url_rules
+from linequarry.llm import textkernel as tk
 from linequarry.llm.graph import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -72,20 +74,21 @@ def shingles(text, k):
 
 
 def brute_components(rows, k, percent):
-    sets = {i: shingles(t, k) for i, t, _ in rows if i is not None}
-    least = {i: i for i in sets}
+    """(doc_id, n_shingles, component) of every row; rows with one id are one document with several texts."""
+    sets = [(i, shingles(t, k)) for i, t, _ in rows if i is not None]
+    least = {i: i for i, _ in sets}
 
     def root(x):
         while least[x] != x:
             x = least[x]
         return x
 
-    for a in sets:
-        for b in sets:
-            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+    for n, (a, one) in enumerate(sets):
+        for b, two in sets[n + 1 :]:
+            if one and two and 100 * len(one & two) >= percent * len(one | two):
                 x, y = root(a), root(b)
                 least[max(x, y)] = min(x, y)
-    return {i: (len(s), root(i)) for i, s in sets.items()}
+    return sorted((i, len(s), root(i)) for i, s in sets)
 
 
 @pytest.mark.parametrize("block", [256, 4])
@@ -99,14 +102,50 @@ def test_near_duplicates(spark, monkeypatch, block):
         for _ in range(rnd.randint(0, 5)):
             w[rnd.randrange(60)] = f"z{rnd.randrange(1000)}"
         rows.append((2000 + i, " ".join(w), "en"))
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_duplicates.near_duplicates(table(spark, rows), words=4).collect()}
-    want = brute_components(rows, 4, 80)
-    assert {i: v[:2] for i, v in got.items() if i is not None} == want
-    assert all(v[2] == (v[1] == i) for i, v in got.items() if i is not None)
-    assert got[None][1:] == (None, True)
+    # Repeated rows and ids: one id ties two texts, and what they link to, together.
+    rows += [(3000, rows[3][1], "en"), (3000, rows[8][1], "en"), (3001, rows[8][1], "en"), (3001, "", None), (3002, "one text", "en"), (3002, "one text", "en"), (3, rows[1][1], "en")]
+    got = near_duplicates.near_duplicates(table(spark, rows), words=4).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got if r["doc_id"] is not None) == brute_components(rows, 4, 80)
+    assert all(r["kept"] == (r["component_id"] == r["doc_id"]) for r in got if r["doc_id"] is not None)
+    assert [(r["component_id"], r["kept"]) for r in got if r["doc_id"] is None] == [(None, True)]
     assert near_duplicates.near_duplicates(table(spark, [])).collect() == []
 
 
+def thue_morse(k, a="a", b="b"):
+    """A word and its complement: texts whose polynomial hashes modulo 2^64 are equal."""
+    one, two = a, b
+    for _ in range(k):
+        one, two = one + two, two + one
+    return one, two
+
+
+def test_words_with_equal_polynomial_hashes_are_apart(spark):
+    x, y = thue_morse(10)
+    rows = [(1, f"one two three {x}", None), (2, f"one two three {y}", None), (3, x, None), (4, y, None)]
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates.near_duplicates(table(spark, rows), words=4).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4}
+
+
+@pytest.mark.parametrize("limit", [64, 1 << 20])
+def test_long_texts_are_taken_in_spans(monkeypatch, limit):
+    monkeypatch.setattr(tk, "CHUNK_BYTES", limit)
+    monkeypatch.setattr(tk.spans, "__defaults__", (limit,))
+    monkeypatch.setattr(tk.row_chunks, "__defaults__", (limit,))
+    rnd = random.Random(1)
+    texts = [" ".join(rnd.choice("abcdefg") * rnd.randint(1, 9) for _ in range(n)) for n in (0, 3, 40, 400)] + ["x" * 500 + " y " + "z" * 90, " \t" * 100 + "a b c d e"]
+    column = pa.array(texts)
+    sets = [s for _, part in near_duplicates.shingle_sets(column, 4) for s in part]
+    assert [len(s) for s in sets] == [len(shingles(t, 4)) for t in texts]
+    seen = {}
+    data, offsets = tk.string_buffers(column)
+    for lo, hi, k, words in tk.word_chunks(data, offsets, 5):
+        for d in range(lo, hi):
+            a, z = words.first[d - lo], words.first[d - lo + 1]
+            for i in range(a, z - 4):
+                assert seen.setdefault((d, k + i - a), words.text(i, i + 5)) is not None
+    assert seen == {(d, i): " ".join(w[i : i + 5]).encode() for d, w in enumerate(map(WORD.findall, texts)) for i in range(len(w) - 4)}
+
+
 def test_odd_sketch_tells_high_similarity():
     rnd = np.random.default_rng(0)
     a = np.unique(rnd.integers(0, 2**63, 1000).astype(np.uint64))
@@ -115,7 +154,9 @@ def test_odd_sketch_tells_high_similarity():
     assert bits(a, a) == 0 and bits(a, b) < near_duplicates.most_bits(80) < bits(a, a + np.uint64(1))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [10_000, 0])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(graph, "FEW", few)
     edges = [(1, 2), (2, 3), (3, 9), (5, 6), (7, 7), (None, 4), *[(100, k) for k in range(101, 140)], (139, 99)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys((1, 2, 3, 9), 1), 5: 5, 6: 5, **dict.fromkeys(range(99, 140), 99)}
