@@ -14,13 +14,15 @@ Ids are the ranks. Decoding joins the bytes of the ids.
 
 Defined results: null counts as the empty text, which has no ids; ids without an entry
 raise an error in decoding; repeated rows are encoded each; an empty table gives an
-empty result. Nothing is cut, whatever the length.
+empty result. Very long texts are encoded some pre-tokens at a time; nothing is cut,
+whatever the length. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
+import itertools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -36,6 +38,8 @@ from .runtime import ship
 LONG = 512
 #: Pre-tokens that a worker remembers with their ids.
 CACHE_ENTRIES = 150_000
+#: Pre-tokens of a long text that are encoded at a time.
+PIECES = 100_000
 _NONE = np.int32(np.iinfo(np.int32).max)
 
 
@@ -221,12 +225,20 @@ class Encoder:
 
     def __init__(self, merges: Merges, pattern: str):
         self.merges = merges
-        self.cut = regex.compile(pattern).findall
+        compiled = regex.compile(pattern)
+        self.cut, self.walk = compiled.findall, compiled.finditer
         self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        cut = [self.cut(t) for t in texts]
+        return self._ids([self.cut(t) for t in texts])
+
+    def encode_long(self, text: str) -> bytes:
+        """Ids of one text of any length, some pre-tokens at a time."""
+        found = (m.group() for m in self.walk(text))
+        return b"".join(self._ids([part])[0] for part in iter(lambda: list(itertools.islice(found, PIECES)), []))
+
+    def _ids(self, cut: list[list[str]]) -> list[bytes]:
         known = self.known
         new = set().union(*cut).difference(known)
         if len(known) + len(new) > CACHE_ENTRIES:
@@ -256,12 +268,17 @@ def _encoding(ranks, pattern: str):
             texts = b.column("text")
             _, offsets = tk.string_buffers(texts)
             for lo, hi in tk.row_chunks(offsets):
-                ids = encoder.encode([t or "" for t in texts.slice(lo, hi - lo).to_pylist()])
+                some = [t or "" for t in texts.slice(lo, hi - lo).to_pylist()]
+                ids = [encoder.encode_long(some[0])] if tk.is_long(offsets, lo, hi) else encoder.encode(some)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
     return run
 
 
+def _joined(token, ids: np.ndarray) -> bytes:
+    return b"".join(b"".join(map(token, ids[k : k + PIECES].tolist())) for k in range(0, len(ids), PIECES))
+
+
 def _decoding(ranks):
     @tk.worker_task
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,7 +286,7 @@ def _decoding(ranks):
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
-                out = [b"".join(map(token, np.frombuffer(x or b"", "<u4").tolist())) for x in part.column("ids").to_pylist()]
+                out = [_joined(token, np.frombuffer(x or b"", "<u4")) for x in part.column("ids").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], names=[*part.schema.names, "decoded"])
 
     return run

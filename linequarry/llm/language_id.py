@@ -13,7 +13,8 @@ lookup.
 
 Defined results: null texts and texts without a letter are `und` with score 0 and are
 not accepted; if there is nothing to learn from, everything is `und`; ties go to the
-first language in alphabetical order; repeated rows get equal results.
+first language in alphabetical order; repeated rows get equal results; an empty table gives
+an empty result. Very long texts are summed span by span, whole. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -38,8 +39,11 @@ ACCEPT = 0.995
 UND = "und"
 
 
-def subwords(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, row) of every subword of some texts, rows in order; `bounds` are byte offsets."""
+def subwords(data: np.ndarray, bounds: np.ndarray, known: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, row) of every subword of some texts, rows in order; `bounds` are byte offsets.
+
+    Subwords that lie in the first `known` bytes are left out.
+    """
     n = len(data)
     text = tk._LOWER[data]
     space = tk._SPACE[data]
@@ -58,6 +62,7 @@ def subwords(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
             ok &= ~space[j : m + j]
         if size == 2:
             ok &= ~(space[:m] & space[1:])
+        ok[: max(0, known - size + 1)] = False
         h ^= h >> np.uint32(15)
         buckets.append((h[ok] % np.uint32(BUCKETS)).astype(np.int32))
         rows.append(row[:m][ok])
@@ -74,13 +79,28 @@ class Model:
     temperature: float
     least_score: float
 
+    def _sums(self, data: np.ndarray, bounds: np.ndarray, known: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Summed table rows and number of subwords of each text."""
+        n = len(bounds) - 1
+        bucket, row = subwords(data, bounds, known)
+        return np.stack([np.bincount(row, weights=self.table[bucket, c], minlength=n) for c in range(len(self.langs))], axis=1), np.bincount(row, minlength=n)
+
+    def _calibrated(self, sums: np.ndarray, count: np.ndarray) -> np.ndarray:
+        return _softmax((sums / np.maximum(count, 1)[:, None] + self.bias) / self.temperature)
+
     def scores(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Calibrated probabilities, one row per text."""
-        n = len(bounds) - 1
-        bucket, row = subwords(data, bounds)
-        count = np.maximum(np.bincount(row, minlength=n), 1)
-        logits = np.stack([np.bincount(row, weights=self.table[bucket, c], minlength=n) for c in range(len(self.langs))], axis=1) / count[:, None] + self.bias
-        return _softmax(logits / self.temperature)
+        return self._calibrated(*self._sums(data, bounds))
+
+    def score_long(self, data: np.ndarray) -> np.ndarray:
+        """Calibrated probabilities of one text of any length, summed over spans."""
+        sums, count, over = np.zeros((1, len(self.langs))), np.zeros(1, np.int64), max(SIZES) - 1
+        for a in range(0, len(data), tk.CHUNK_BYTES):
+            known = min(a, over)
+            part = data[a - known : a + tk.CHUNK_BYTES]
+            s, c = self._sums(part, np.array([0, len(part)]), known)
+            sums, count = sums + s, count + c
+        return self._calibrated(sums, count)
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -166,7 +186,8 @@ def _predicting(shared):
         for b in batches:
             data, offsets = tk.string_buffers(b.column("text"))
             for lo, hi in tk.row_chunks(offsets):
-                p = model.scores(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                part = data[offsets[lo] : offsets[hi]]
+                p = model.score_long(part) if tk.is_long(offsets, lo, hi) else model.scores(part, offsets[lo : hi + 1] - offsets[lo])
                 best = p.argmax(axis=1)
                 letters = b.column("letters").slice(lo, hi - lo).to_numpy(zero_copy_only=False).astype(bool)
                 score = np.where(letters, p[np.arange(len(p)), best], 0.0)

@@ -96,6 +96,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = r"list_filter(string_split_regex({text}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
+_TOKENS = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+
 _OP2 = f"""
 WITH RECURSIVE words AS (
   SELECT doc_id, {_WORDS.format(text=f"translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')")} AS w FROM documents
@@ -131,27 +133,20 @@ SELECT parts.page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM par
 """
 
 
-def _op4() -> str:
-    masks = decontamination.MASKS
-    span = max(map(len, masks))
-    seeds = [f"list_transform(range(1, len(w) - {span} + 2), lambda i: {{'p': i - 1, 'm': {k}, 's': concat_ws(' ', {', '.join(f'w[i + {j}]' for j, c in enumerate(m) if c == '1')})}})" for k, m in enumerate(masks)]
-    words = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
-    return f"""
-WITH d AS (SELECT doc_id, {words} AS w FROM documents
-), b AS (SELECT item_id, w FROM (SELECT item_id, {words} AS w FROM benchmark) WHERE len(w) >= {span}
-), ds AS (SELECT doc_id, unnest(list_concat({", ".join(seeds)})) AS t FROM d WHERE len(w) >= {span}
-), bs AS (SELECT item_id, unnest(list_concat({", ".join(seeds)})) AS t FROM b
-), hits AS (SELECT DISTINCT doc_id, item_id, ds.t.p - bs.t.p AS g FROM ds JOIN bs ON ds.t.m = bs.t.m AND ds.t.s = bs.t.s
-), laid AS (
-  SELECT doc_id, item_id, g, list_transform(range(0, len(b.w)), lambda j: CASE WHEN j + g >= 0 AND j + g < len(d.w) AND d.w[j + g + 1] = b.w[j + 1] THEN 1 ELSE 0 END) AS e
-  FROM hits JOIN d USING (doc_id) JOIN b USING (item_id)
-), best AS (
-  SELECT doc_id, item_id, list_sum(e) / len(e) AS share, least(len(e), {decontamination.STRETCH}) AS k,
-    list_max(list_transform(range(1, len(e) - least(len(e), {decontamination.STRETCH}) + 2), lambda i: list_sum(list_slice(e, i, i + least(len(e), {decontamination.STRETCH}) - 1)))) AS m
-  FROM laid
+#: All alignments of all items, by their equal tokens; no masks.
+_OP4 = rf"""
+WITH d AS (SELECT doc_id, {_TOKENS} AS w FROM documents
+), b AS (SELECT item_id, w, len(w) AS n, CASE WHEN len(w) < 10 THEN len(w) ELSE ceil(0.8 * least(len(w), 13) - 1e-9) END AS need FROM (SELECT item_id, {_TOKENS} AS w FROM benchmark) WHERE len(w) >= 5
+), dw AS (SELECT doc_id, unnest(w) AS t, unnest(range(len(w))) AS p FROM d
+), bw AS (SELECT item_id, n, need, unnest(w) AS t, unnest(range(len(w))) AS p FROM b
+), equal AS (
+  SELECT doc_id, item_id, dw.p - bw.p AS g, any_value(n) AS n, any_value(need) AS need, count(*) AS m, list(bw.p ORDER BY bw.p) AS pos
+  FROM dw JOIN bw USING (t) GROUP BY ALL HAVING count(*) >= any_value(need)
+), dense AS (
+  SELECT *, list_max(list_transform(pos, lambda x: len(list_filter(pos, lambda y: y >= least(x, n - least(n, 13)) AND y < least(x, n - least(n, 13)) + 13)))) AS best FROM equal
 )
-SELECT doc_id, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS item_ids, count(DISTINCT item_id) AS n_items, CAST(max(share) AS DOUBLE) AS most_equal
-FROM best WHERE m >= ceil(k * {decontamination.SHARE} - 1e-9) GROUP BY doc_id
+SELECT doc_id, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS item_ids, count(DISTINCT item_id) AS n_items, CAST(max(CAST(m AS DOUBLE) / n) AS DOUBLE) AS most_equal
+FROM dense WHERE best >= need GROUP BY doc_id
 """
 
 
@@ -171,4 +166,4 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) A
 FROM words LEFT JOIN kept USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op2_near_duplicates": _OP2, "op3_url_rules": _OP3, "op4_decontamination": _op4(), "op7_repeated_passages": _OP7}
+ORACLES: dict[str, str] = {"op2_near_duplicates": _OP2, "op3_url_rules": _OP3, "op4_decontamination": _OP4, "op7_repeated_passages": _OP7}

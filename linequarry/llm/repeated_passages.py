@@ -21,6 +21,8 @@ Windows are judged on the input, not on what is left of it.
 Defined results: null and empty texts have no words; rows without an id are never
 changed and remove nothing; rows that share an id do not remove each other's words;
 texts with fewer words than a window stay whole; an empty table gives an empty result.
+Very long texts are taken in spans that overlap by a window, nothing of them is cut.
+Columns other than id, text and the carried ones are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .runtime import broadcast_if_small, ship, shuffle_parts, staged
+from .runtime import broadcast_if_small, discard, join_counted, ship, shuffle_parts, staged
 
 WINDOW, GRAM = 50, 20
 #: Longest run in windows; texts that repeat one word would else give runs without end.
@@ -74,24 +76,23 @@ def _minimisers(window: int, gram: int):
         for b in batches:
             data, offsets = tk.string_buffers(b.column("text"))
             ids = b.column("doc_id").to_numpy(zero_copy_only=False)
-            for lo, hi in tk.row_chunks(offsets):
-                runs = _Runs(tk.Words(data, offsets, lo, hi), window, gram)
+            for lo, _, _, words in tk.word_chunks(data, offsets, window):
+                runs = _Runs(words, window, gram)
                 yield pa.RecordBatch.from_arrays([pa.array(runs.key, pa.int64()), pa.array(ids[lo + runs.doc], pa.int64())], names=["key", "doc_id"])
 
     return run
 
 
 def _packed(window: int, gram: int):
-    schema = pa.schema([("key", pa.int64()), ("p1", pa.int64()), ("p2", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int64()), ("first", pa.int32()), ("packed", pa.binary()), ("copies", pa.bool_())])
+    schema = pa.schema([("key", pa.int64()), ("p1", pa.int64()), ("p2", pa.int64()), ("doc_id", pa.int64()), ("r1", pa.int64()), ("r2", pa.int64()), ("first", pa.int32()), ("packed", pa.binary()), ("copies", pa.bool_())])
 
     @tk.worker_task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = tk.string_buffers(b.column("text"))
-            ids, rows = b.column("doc_id").to_numpy(), b.column("row").to_numpy()
+            ids, r1, r2 = (b.column(c).to_numpy() for c in ("doc_id", "r1", "r2"))
             keys = b.column("keys")
-            for lo, hi in tk.row_chunks(offsets):
-                words = tk.Words(data, offsets, lo, hi)
+            for lo, hi, skipped, words in tk.word_chunks(data, offsets, window):
                 runs = _Runs(words, window, gram)
                 out: list[tuple] = []
                 carrier: dict[tuple[int, int], int] = {}
@@ -104,19 +105,19 @@ def _packed(window: int, gram: int):
                         name = (int(digest[0]), int(digest[1]))
                         doc_id = int(ids[lo + d])
                         held = carrier.get(name)
-                        row = (int(runs.key[i]), *name, doc_id, int(rows[lo + d]), int(runs.first[i]))
+                        row = (int(runs.key[i]), *name, doc_id, int(r1[lo + d]), int(r2[lo + d]), skipped + int(runs.first[i]))
                         # The string travels with the least id of this batch, and says if others here have it.
                         if held is None:
                             carrier[name] = len(out)
                             out.append((*row, text, False))
                             continue
-                        copies = out[held][7] or out[held][3] != doc_id
+                        copies = out[held][8] or out[held][3] != doc_id
                         if doc_id < out[held][3]:
-                            out[held] = (*out[held][:6], None, None)
+                            out[held] = (*out[held][:7], None, None)
                             carrier[name] = len(out)
                             out.append((*row, text, copies))
                         else:
-                            out[held] = (*out[held][:7], copies)
+                            out[held] = (*out[held][:8], copies)
                             out.append((*row, None, None))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
@@ -203,45 +204,67 @@ def _single_windows(window: int):
     return run
 
 
+def _staying(starts: np.ndarray, window: int, first: int, count: int) -> np.ndarray:
+    """Which of the words first..first+count no window covers; `starts` are rising places of windows."""
+    near = starts[np.searchsorted(starts, first - window, side="right") : np.searchsorted(starts, first + count)] - first
+    edge = np.zeros(count + 1, np.int32)
+    edge[np.maximum(near, 0)] += 1
+    # Windows that begin before the first word share their place, so those are summed.
+    edge[0] += max(0, int((near <= 0).sum()) - 1)
+    ends = near + window
+    np.add.at(edge, ends[ends < count], -1)
+    return np.flatnonzero(np.cumsum(edge[:count]) == 0)
+
+
+def _kept(words: tk.Words, a: int, z: int, starts: np.ndarray | None, window: int, first: int = 0) -> tuple[bytes, int]:
+    """The words a..z-1 that stay, joined by one space, and their number."""
+    if starts is None or not len(starts):
+        return words.text(a, z), z - a
+    stay = _staying(starts, window, first, z - a) + a
+    return b" ".join(words.data[words.start[i] : words.end[i]].tobytes() for i in stay.tolist()), len(stay)
+
+
 def _cut(window: int):
     @tk.worker_task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = tk.string_buffers(b.column("text"))
             hits = b.column("hits")
+
+            def starts_of(row: int, hits=hits) -> np.ndarray | None:
+                return None if hits[row].values is None else np.unique(hits[row].values.to_numpy())
+
             for lo, hi in tk.row_chunks(offsets):
-                words = tk.Words(data, offsets, lo, hi)
-                removed, kept = [], []
-                for d in range(hi - lo):
-                    a, z = int(words.first[d]), int(words.first[d + 1])
-                    starts = hits[lo + d].values
-                    if starts is None or not len(starts):
-                        removed.append(0)
-                        kept.append(words.text(a, z))
-                        continue
-                    edge = np.zeros(z - a + 1, np.int64)
-                    starts = np.unique(starts.to_numpy())
-                    np.add.at(edge, starts, 1)
-                    np.add.at(edge, starts + window, -1)
-                    stay = np.flatnonzero(np.cumsum(edge[:-1]) == 0) + a
-                    removed.append(z - a - len(stay))
-                    kept.append(b" ".join(words.data[words.start[i] : words.end[i]].tobytes() for i in stay.tolist()))
+                if tk.is_long(offsets, lo, hi):
+                    starts, total, stayed, parts = starts_of(lo), 0, 0, []
+                    for x, y in tk.spans(data, int(offsets[lo]), int(offsets[hi])):
+                        words = tk.Words(data, np.array([x, y]), 0, 1)
+                        text, n = _kept(words, 0, len(words.start), starts, window, total)
+                        total, stayed = total + len(words.start), stayed + n
+                        if n:
+                            parts.append(text)
+                    counts, removed, kept = [total], [total - stayed], [b" ".join(parts)]
+                else:
+                    words = tk.Words(data, offsets, lo, hi)
+                    edges = words.first.tolist()
+                    made = [_kept(words, a, z, starts_of(lo + d), window) for d, (a, z) in enumerate(zip(edges[:-1], edges[1:], strict=True))]
+                    counts = words.counts
+                    removed, kept = [int(c) - n for c, (_, n) in zip(counts, made, strict=True)], [t for t, _ in made]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").slice(lo, hi - lo), b.column("carried").slice(lo, hi - lo), pa.array(words.counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
+                    [b.column("doc_id").slice(lo, hi - lo), b.column("carried").slice(lo, hi - lo), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
                     names=["doc_id", "carried", "n_words", "n_removed", "kept"],
                 )
 
     return run
 
 
-def _join_few(docs: DataFrame, few: DataFrame, column: str, value: str, outer: bool) -> DataFrame:
-    """docs joined to the few rows that have something for them; only those documents are shuffled if their ids fit a broadcast."""
-    ids = few.select(column)
-    marked = broadcast_if_small(ids, 16, ID_BROADCAST)
-    some = docs.join(marked, column, "left_semi").join(few, column)
+def _join_few(docs: DataFrame, few: DataFrame, on: list[str], value: str, outer: bool) -> DataFrame:
+    """docs joined to the few rows that have something for them; only those documents are shuffled if their keys fit a broadcast."""
+    marked = broadcast_if_small(few.select(*on), 32, ID_BROADCAST)
+    some = docs.join(marked, on, "left_semi").join(few, on)
     if not outer:
         return some
-    rest = docs.join(marked, column, "left_anti").withColumn(value, F.lit(None).cast(few.schema[value].dataType))
+    rest = docs.join(marked, on, "left_anti").withColumn(value, F.lit(None).cast(few.schema[value].dataType))
     return some.select(*rest.columns).unionByName(rest)
 
 
@@ -255,35 +278,42 @@ def cut_repeats(documents: DataFrame, window: int = WINDOW, gram: int = GRAM, id
     carried = F.struct(*[F.col(c) for c in carry] or [F.lit(True).alias("none")]).alias("carried")
     whole = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), carried)
     docs = whole.select("doc_id", "text")
-    found = docs.filter("doc_id is not null").mapInArrow(_minimisers(window, gram), "key long, doc_id long")
-    shared = found.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("key")
-    lists = found.join(shared, "key").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
-    lists = staged(lists, "minimisers")
-
-    # Tells rows with one id apart.
-    rows = whole.withColumn("row", F.xxhash64("doc_id", "text"))
-    listed = _join_few(rows.filter("doc_id is not null").select("doc_id", "row", "text"), lists, "doc_id", "keys", outer=False).select("doc_id", "row", "text", "keys")
-    runs = staged(listed.mapInArrow(_packed(window, gram), "key long, p1 long, p2 long, doc_id long, row long, first int, packed binary, copies boolean"), "runs")
+    parts = shuffle_parts(spark)
+    found = staged(docs.filter("doc_id is not null").mapInArrow(_minimisers(window, gram), "key long, doc_id long"), "minimisers")
+    shared = staged(found.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).filter("low < high").select("key", "n"), "shared")
+    # A passage that very many documents hold is one key: those rows are not shuffled by it.
+    lists = staged(join_counted(found, shared, ["key"], "n", parts).groupBy("doc_id").agg(F.collect_set("key").alias("keys")), "lists")
+    discard(found, shared)
+
+    # Tells rows with one id apart: the id goes along, so it only has to tell texts of one id apart.
+    rows = whole.withColumn("r1", F.xxhash64("doc_id", "text")).withColumn("r2", F.xxhash64(F.lit(3), "text", "doc_id"))
+    listed = _join_few(rows.filter("doc_id is not null").select("doc_id", "r1", "r2", "text"), lists, ["doc_id"], "keys", outer=False).select("doc_id", "r1", "r2", "text", "keys")
+    runs = staged(listed.mapInArrow(_packed(window, gram), "key long, p1 long, p2 long, doc_id long, r1 long, r2 long, first int, packed binary, copies boolean"), "runs")
 
     strings = runs.filter("packed is not null").select("key", "packed", "doc_id", "copies", "p1", "p2")
     counts = strings.groupBy("key").agg(F.count("*").alias("n"))
     big = staged(counts.filter(F.col("n") > heavy).select("key"), "heavy")
     any_big = not big.isEmpty()
     light = strings.join(broadcast_if_small(big, 16), "key", "left_anti") if any_big else strings
-    dealt = light.select("key", "packed", "doc_id", "copies").repartition(shuffle_parts(spark), "key").sortWithinPartitions("key")
+    dealt = light.select("key", "packed", "doc_id", "copies").repartition(parts, "key").sortWithinPartitions("key")
     least = dealt.mapInArrow(_buckets(window), "p1 long, p2 long, least array<long>")
     if any_big:
         split = strings.join(broadcast_if_small(big, 16), "key", "left_semi").mapInArrow(_single_windows(window), "p1 long, p2 long, k int, window binary, doc_id long, copies boolean")
         split = split.withColumn("w", F.struct(F.xxhash64("window").alias("x"), F.xxhash64(F.lit(7), "window").alias("y")))
-        lows = split.groupBy("window").agg(F.first("w").alias("w"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max("copies").alias("copies")).filter("low < high or copies").select("w", "low")
-        where = split.select("p1", "p2", "k", "w").distinct()
-        hit = where.join(lows, "w").groupBy("p1", "p2").agg(F.array_sort(F.collect_list(F.struct("k", "low"))).alias("pairs"))
+        lows = split.groupBy("window").agg(F.first("w").alias("w"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max("copies").alias("copies"), F.count("*").alias("n")).filter("low < high or copies")
+        lows = staged(lows.select("w", "low", "n"), "windows")
+        where = staged(split.select("p1", "p2", "k", "w").distinct(), "places")
+        hit = join_counted(where, lows, ["w"], "n", parts).groupBy("p1", "p2").agg(F.array_sort(F.collect_list(F.struct("k", "low"))).alias("pairs"))
         # Windows without an entry have one id only; no document is below a least id of its own.
         filled = F.expr(f"transform(sequence(0, element_at(pairs, -1).k), i -> coalesce(get(filter(pairs, p -> p.k = i), 0).low, {2**63 - 1}))")
         least = least.unionByName(hit.select("p1", "p2", filled.alias("least")))
-    least = staged(least.dropDuplicates(["p1", "p2"]), "least")
+    # How many runs a string has: copies of one passage are one key.
+    sizes = runs.groupBy("p1", "p2").agg(F.count("*").alias("n"))
+    least = staged(least.dropDuplicates(["p1", "p2"]).join(sizes, ["p1", "p2"]), "least")
 
     starts = F.expr("transform(filter(sequence(0, size(least) - 1), k -> least[k] < doc_id), k -> first + k)")
-    hits = runs.select("p1", "p2", "doc_id", "row", "first").join(least, ["p1", "p2"]).select("row", starts.alias("starts")).filter(F.size("starts") > 0)
-    hits = staged(hits.groupBy("row").agg(F.flatten(F.collect_list("starts")).alias("hits")), "hits")
-    return _join_few(rows, hits, "row", "hits", outer=True).select("doc_id", "text", "hits", "carried").mapInArrow(_cut(window), f"doc_id long, carried {whole.schema['carried'].dataType.simpleString()}, n_words long, n_removed long, kept string")
+    met = join_counted(runs.select("p1", "p2", "doc_id", "r1", "r2", "first"), least, ["p1", "p2"], "n", parts)
+    hits = met.select("doc_id", "r1", "r2", starts.alias("starts")).filter(F.size("starts") > 0)
+    hits = staged(hits.groupBy("doc_id", "r1", "r2").agg(F.flatten(F.collect_list("starts")).alias("hits")), "hits")
+    discard(runs, least, lists, big)
+    return _join_few(rows, hits, ["doc_id", "r1", "r2"], "hits", outer=True).select("doc_id", "text", "hits", "carried").mapInArrow(_cut(window), f"doc_id long, carried {whole.schema['carried'].dataType.simpleString()}, n_words long, n_removed long, kept string")

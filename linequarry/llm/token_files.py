@@ -1,27 +1,31 @@
 """Token ids in Arrow files of equal-length sequences, written in id order and read back.
 
-A text is encoded with the tokenizers library. As its pre-tokenizer never joins text
-over white space, or over the border from a letter to ASCII punctuation, texts are cut
-there first, every distinct piece is encoded once, and ids are gathered per document.
-Strings of special tokens in a text are ordinary text.
+A text is encoded as the tokenizers library does with add_special_tokens=False. As its
+pre-tokenizer never joins text over white space, or over the border from a letter to ASCII
+punctuation, texts are cut there first, every distinct piece (by its bytes) is encoded
+once, and ids are gathered per document. The library finds the strings of added tokens in
+a text before it cuts it; a word that holds one is given to it whole and as it is.
 
 File format. Documents are dealt to ranges of rising ids; each range becomes one Arrow
 IPC file of record batches with two fixed-size-list columns, `ids` (the narrowest
-unsigned type that holds the vocabulary) and `mask` (true for real tokens), of
-SEQUENCE entries each; only the last sequence of a file is padded. Batches are not
-compressed, so a reader maps a file and reaches any sequence without a copy. Beside it
-lies an index file with doc_id, start (place in the file's own stream) and n_tokens.
+unsigned type that holds the vocabulary) and `mask` (one byte a place: 1 for real tokens,
+0 for padding), of SEQUENCE entries each; only the last sequence of a file is padded.
+Batches are not compressed, so a reader maps a file and reaches the ids and the mask of
+any sequence without a copy. Beside it lies an index file with doc_id, start (place in the
+file's own stream) and n_tokens.
 
 Files get a name of their own in every attempt, and only the files that a finished task
 reports are read; an executor may be lost at any time.
 
 Defined results: null counts as the empty text, which has only the end id; rows
-without an id come first; rows that repeat an id follow each other; an empty table
-writes no file and gives an empty result.
+without an id come first; rows that repeat an id follow each other, in an order that only
+their texts decide; an empty table writes no file and gives an empty result. Very long
+texts are encoded in spans that end at white space. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import uuid
@@ -60,6 +64,7 @@ class _Pieces(tk.Words):
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, lo: int, hi: int):
         super().__init__(data, offsets, lo, hi, lower=True)
+        self.word_start, self.word_end = self.start, self.end
         text = self.data
         cut = np.zeros(len(text) + 1, dtype=bool)
         if len(text) > 2:
@@ -89,7 +94,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
-        self.tokenizer.encode_special_tokens = True
+        # Strings that the library looks for before it cuts a text, as they would be after lower-casing.
+        added = json.loads(spec).get("added_tokens") or []
+        if any(t["content"].split() != [t["content"]] for t in added):
+            raise ValueError("an added token holds white space: texts cannot be cut there")
+        self.added = sorted({t["content"].encode().translate(tk._LOWER.tobytes()) for t in added})
         self.type = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
@@ -103,6 +112,11 @@ class Encoder:
         self.known.update(zip(pieces, map(raw.__getitem__, map(slice, edges[:-1], edges[1:])), strict=True))
 
     def _learn(self, pieces: list[bytes]) -> None:
+        for p in pieces:
+            if p[:1] in (b"", b" "):
+                # Words as they stand in the text: the library looks for added tokens itself.
+                self.known[p] = np.array(self.tokenizer.encode(p[1:].decode(), add_special_tokens=False).ids, self.type).tobytes()
+        pieces = [p for p in pieces if p[:1] not in (b"", b" ")]
         plain = [p for p in pieces if _PLAIN(p)]
         other = [p for p in pieces if not _PLAIN(p)]
         for k in range(0, len(plain), CALL):
@@ -125,30 +139,43 @@ class Encoder:
             # Pieces that are still in use come over from the older generation one by one.
             self.older, self.known = self.known, {}
         known, older = self.known, self.older
-        missing = [p for p in pieces if p not in known]
+        missing = list(set(pieces).difference(known))
         if older:
             known.update({p: older[p] for p in missing if p in older})
             missing = [p for p in missing if p not in older]
         self._learn(missing)
         return list(map(known.__getitem__, pieces))
 
+    def _with_added(self, raw: bytes, text: bytes, pieces: _Pieces) -> list[bytes]:
+        """Names of the pieces; the words that hold an added token become one piece, named by a blank and their own bytes."""
+        begins, ends = pieces.start.tolist(), pieces.end.tolist()
+        names = list(map(text.__getitem__, map(slice, begins, ends)))
+        found = sorted({m.start() for t in self.added for m in re.finditer(re.escape(t), text)})
+        done = -1
+        for at in found:
+            if at < done:
+                continue
+            word = int(np.searchsorted(pieces.word_start, at, side="right")) - 1
+            a, done = int(pieces.word_start[word]), int(pieces.word_end[word])
+            i, j = (int(np.searchsorted(pieces.start, x)) for x in (a, done))
+            # The first piece stands for the whole word, its others have no ids.
+            names[i:j] = [b" " + raw[a:done]] + [b""] * (j - i - 1)
+        return names
+
     def encode(self, data: np.ndarray, offsets: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the rows lo..hi of a string column one after the other, and the count of each row."""
         pieces = _Pieces(data, offsets, lo, hi)
         if not len(pieces.start):
             return np.zeros(0, self.type), np.zeros(hi - lo, np.int64)
-        _, where, which = np.unique(pieces.hashes(), return_index=True, return_inverse=True)
         text = pieces.data.tobytes()
-        names = [text[a:b] for a, b in zip(pieces.start[where].tolist(), pieces.end[where].tolist(), strict=True)]
+        if any(t in text for t in self.added):
+            names = self._with_added(data[int(offsets[lo]) : int(offsets[hi])].tobytes(), text, pieces)
+        else:
+            names = list(map(text.__getitem__, map(slice, pieces.start.tolist(), pieces.end.tolist())))
         each = self._ids_of(names)
         size = np.fromiter(map(len, each), np.int64, len(each)) // self.type.itemsize
-        flat = np.frombuffer(b"".join(each), self.type)
-        begin = (np.cumsum(size) - size)[which]
-        size = size[which]
-        total = np.cumsum(size)
-        at = np.arange(int(total[-1])) + np.repeat(begin - (total - size), size)
-        edges = np.concatenate([[0], total])[pieces.first]
-        return flat[at], np.diff(edges)
+        edges = np.concatenate([[0], np.cumsum(size)])[pieces.first]
+        return np.frombuffer(b"".join(each), self.type), np.diff(edges)
 
 
 _ENCODERS: dict[int, Encoder] = {}
@@ -179,7 +206,7 @@ class SequenceWriter:
         self.path = f"{base}/{self.name}"
         self.length, self.type = length, type_
         kind = pa.from_numpy_dtype(type_)
-        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))], {"length": str(length), "batch": str(BATCH), "end_id": str(end_id)})
+        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.uint8(), length))], {"length": str(length), "batch": str(BATCH), "end_id": str(end_id)})
         self.out = self.store.open_output_stream(f"{self.path}.arrow")
         self.writer = pa.ipc.new_file(self.out, self.schema)
         self.held: list[np.ndarray] = []
@@ -194,8 +221,8 @@ class SequenceWriter:
         for r in range(0, rows, BATCH):
             part = ids[r * self.length : min(used, (r + BATCH) * self.length)]
             n = -(-len(part) // self.length) * self.length
-            values, mask = np.zeros(n, self.type), np.zeros(n, bool)
-            values[: len(part)], mask[: len(part)] = part, True
+            values, mask = np.zeros(n, self.type), np.zeros(n, np.uint8)
+            values[: len(part)], mask[: len(part)] = part, 1
             self.writer.write_batch(pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(values), self.length), pa.FixedSizeListArray.from_arrays(pa.array(mask), self.length)], schema=self.schema))
         self.held, self.n_held = [ids[used:]], len(ids) - used
 
@@ -240,7 +267,12 @@ def _writing(spec, folder: str, length: int, end_id: int):
                         done.append((int(now), *writer.close()))
                     now, writer = parts[a], SequenceWriter(folder, int(parts[a]), encoder.type, length, end_id)
                 for lo, hi in tk.row_chunks(offsets[a : z + 1]):
-                    ids, counts = _with_end(*encoder.encode(data, offsets, a + lo, a + hi), end_id)
+                    if tk.is_long(offsets, a + lo, a + hi):
+                        made = [encoder.encode(data, np.array(span), 0, 1)[0] for span in tk.spans(data, int(offsets[a + lo]), int(offsets[a + hi]))]
+                        ids = np.append(np.concatenate(made), encoder.type.type(end_id))
+                        counts = np.array([len(ids)], np.int64)
+                    else:
+                        ids, counts = _with_end(*encoder.encode(data, offsets, a + lo, a + hi), end_id)
                     writer.add(b.column("doc_id").slice(a + lo, hi - lo).to_pylist(), ids, counts)
         if writer is not None:
             done.append((int(now), *writer.close()))
@@ -284,14 +316,14 @@ class SequenceReader:
         self.length, self.batch = (int(self.sequences.schema.metadata[k]) for k in (b"length", b"batch"))
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of one sequence; the ids are a view of the file."""
+        """Ids and mask of one sequence; both are views of the file."""
         batch = self.sequences.get_batch(i // self.batch)
         ids, mask = batch.column(0)[i % self.batch].values, batch.column(1)[i % self.batch].values
-        return ids.to_numpy(), mask.to_numpy(zero_copy_only=False)
+        return ids.to_numpy(), mask.to_numpy()
 
-    def span(self, start: int, count: int) -> np.ndarray:
-        """Tokens start..start+count of the file's stream."""
-        out, width = [], self.batch * self.length
+    def parts(self, start: int, count: int) -> Iterator[np.ndarray]:
+        """Tokens start..start+count of the file's stream, as views of one batch after the other."""
+        width = self.batch * self.length
         while count > 0:
             batch = self.sequences.get_batch(start // width)
             at = start % width
@@ -299,8 +331,12 @@ class SequenceReader:
             got = batch.column(0).values.to_numpy()[at : at + count]
             if not len(got):
                 raise ValueError("a document's tokens end beyond its file")
-            out.append(got)
+            yield got
             start, count = start + len(got), count - len(got)
+
+    def span(self, start: int, count: int) -> np.ndarray:
+        """Tokens start..start+count of the file's stream, as one array."""
+        out = list(self.parts(start, count))
         return out[0] if len(out) == 1 else np.concatenate(out) if out else np.zeros(0, np.uint16)
 
     def documents(self) -> Iterator[tuple[int | None, int, int]]:
@@ -317,8 +353,10 @@ def _reading(folder: str):
             for file, base in zip(b.column("file").to_pylist(), b.column("start").to_pylist(), strict=True):
                 reader, rows = SequenceReader(folder, file), []
                 for doc_id, start, n in reader.documents():
-                    ids = reader.span(start, n)
-                    rows.append((doc_id, base + start, n, zlib.crc32(ids.astype("<u4").tobytes()), file))
+                    crc = 0
+                    for part in reader.parts(start, n):
+                        crc = zlib.crc32(part.astype("<u4").tobytes(), crc)
+                    rows.append((doc_id, base + start, n, crc, file))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return run

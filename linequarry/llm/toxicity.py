@@ -1,7 +1,8 @@
 """Toxicity by multiple-instance learning: sentence scores joined by noisy-or, learned from document labels.
 
-A sentence is the set of its words (A-Z lower-cased, ASCII punctuation trimmed). Its
-score is a logistic function of word weights, p_s; a document is toxic with probability
+A sentence is the set of its words (A-Z lower-cased, all ASCII punctuation trimmed off
+both ends) and of the first 5, 6 and 7 bytes of longer ones, so that forms of an offending
+stem that no label showed are known too. Its score is a logistic function of word weights, p_s; a document is toxic with probability
 1 - prod(1 - p_s): one offending sentence is enough. The gradient of the document's
 label reaches the sentences through the noisy-or, so the model learns which sentences
 (and words) made documents toxic, and can point them out.
@@ -15,7 +16,9 @@ scores (Platt scaling).
 Only the text is an input of a score. Defined results: null and empty texts have no
 sentences and get the score of an empty document; if there is nothing to learn from, or
 one label only, the score is the share of toxic labels (0 without labels); repeated
-rows get equal scores.
+rows get equal scores; of two labels for one id the toxic one counts; of sentences that
+offend equally the last is named; an empty table gives an empty result. Very long texts
+are scored whole, in spans whose sentences are joined again. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +34,9 @@ from pyspark.sql import functions as F
 from . import textkernel as tk
 from .runtime import broadcast_if_small, ship, staged
 
-PER_LABEL, LONGEST, LEAST, SURE = 6000, 50_000, 4, 14.0
+#: Bytes of the beginnings of words that are features beside the whole words.
+PREFIXES = (5, 6, 7)
+PER_LABEL, LONGEST, LEAST, SURE = 6000, 50_000, 3, 8.0
 EPOCHS, RATE, DECAY, START = 8, 0.5, 1e-4, -6.0
 ID_BROADCAST = 64 << 20
 
@@ -60,10 +65,26 @@ class Sentences:
         tails = np.append(heads[1:], n) - 1 if n else heads
         base = (offsets[lo:hi] - offsets[lo])[self.text_of] if n else np.zeros(0, np.int64)
         self.begin, self.stop = words.start[heads] - base, (words.end[tails] - base if n else heads)
-        for _ in range(8):
-            words.start = words.start + (_TRIM[words.data[words.start]] & (words.start < words.end - 1) if n else 0)
-            words.end = words.end - (_TRIM[words.data[words.end - 1]] & (words.start < words.end - 1) if n else 0)
-        self.words = words.hashes() if n else np.zeros(0, np.uint64)
+        self.closed = bool(n) and bool(_STOP[last[-1]])
+        self.edges = (int(words.start[0]), int(words.end[-1])) if n else None
+        if n:
+            # All marks go, up to the last byte of a word that has nothing else.
+            inner = np.flatnonzero(~_TRIM[words.data])
+            ahead = np.append(inner, len(words.data))[np.searchsorted(inner, words.start)]
+            words.start = np.minimum(ahead, words.end - 1)
+            behind = np.concatenate([[-1], inner])[np.searchsorted(inner, words.end)]
+            words.end = np.maximum(behind + 1, words.start + 1)
+        known, sentence = [words.hashes()], [self.sentence]
+        size = words.end - words.start
+        text = np.append(words.data, np.zeros(max(PREFIXES), np.uint8)).astype(np.uint64) if n else words.data
+        head = np.zeros(n, np.uint64)
+        for k in range(max(PREFIXES) if n else 0):
+            head |= text[words.start + k] << np.uint64(8 * k)
+            if k + 1 in PREFIXES:
+                longer = size > k + 1
+                known.append(tk.mix(head[longer] ^ np.uint64((k + 1) << 58)))
+                sentence.append(self.sentence[longer])
+        self.words, self.sentence = np.concatenate(known), np.concatenate(sentence)
 
 
 @dataclass
@@ -74,21 +95,54 @@ class Model:
     slope: float
     offset: float
 
-    def sentence_logits(self, s: Sentences) -> np.ndarray:
-        """Logit of every sentence; a word counts once for each time it stands there, up to one of a kind."""
-        n = len(s.text_of)
+    def pairs(self, s: Sentences) -> np.ndarray:
+        """Sentence and known word of every hit, in one number; a word counts once in a sentence."""
         if not len(self.vocabulary):
-            return np.full(n, self.bias)
+            return np.zeros(0, np.int64)
         at = np.minimum(np.searchsorted(self.vocabulary, s.words), len(self.vocabulary) - 1)
         hit = np.flatnonzero(self.vocabulary[at] == s.words)
-        pair = np.unique(s.sentence[hit] * np.int64(len(self.vocabulary)) + at[hit])
-        return np.bincount(pair // len(self.vocabulary), weights=self.weights[pair % len(self.vocabulary)], minlength=n) + self.bias
+        return np.unique(s.sentence[hit] * np.int64(len(self.vocabulary)) + at[hit])
+
+    def logits(self, pairs: np.ndarray, n: int) -> np.ndarray:
+        """Logit of each of n sentences."""
+        many = max(1, len(self.vocabulary))
+        return (np.bincount(pairs // many, weights=self.weights[pairs % many], minlength=n) if len(pairs) else np.zeros(n)) + self.bias
+
+    def sentence_logits(self, s: Sentences) -> np.ndarray:
+        return self.logits(self.pairs(s), len(s.text_of))
+
+    def _scores(self, z: np.ndarray, text_of: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
+        clean = np.bincount(text_of, weights=-np.logaddexp(0, z), minlength=n_texts)
+        return _sigmoid(self.slope * _logit_of(clean) + self.offset), _sigmoid(z)
 
     def scores(self, s: Sentences) -> tuple[np.ndarray, np.ndarray]:
         """Calibrated score of every text, probability of every sentence."""
-        z = self.sentence_logits(s)
-        clean = np.bincount(s.text_of, weights=-np.logaddexp(0, z), minlength=s.n_texts)
-        return _sigmoid(self.slope * _logit_of(clean) + self.offset), _sigmoid(z)
+        return self._scores(self.sentence_logits(s), s.text_of, s.n_texts)
+
+    def score_long(self, data: np.ndarray, begin: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Score of one text of any length, and probability, begin and end of each sentence; spans may cut sentences."""
+        many = max(1, len(self.vocabulary))
+        pairs, begins, stops = [], [], []
+        total, last = 0, None
+        for a, z in tk.spans(data, begin, end):
+            s = Sentences(data, np.array([a, z]), 0, 1)
+            if s.edges is None:
+                continue
+            goes_on = last is not None and not (data[last : a + s.edges[0]] == 0x0A).any()
+            first = total - 1 if goes_on else total
+            pairs.append(self.pairs(s) + np.int64(first) * many)
+            if goes_on:
+                stops[-1][-1] = s.stop[0] + a - begin
+            begins.append(s.begin[int(goes_on) :] + a - begin)
+            stops.append(s.stop[int(goes_on) :] + a - begin)
+            if not len(stops[-1]):
+                begins.pop(), stops.pop()
+            total = first + len(s.text_of)
+            last = None if s.closed else a + s.edges[1]
+        z = self.logits(np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64), total)
+        score, p = self._scores(z, np.zeros(total, np.int64), 1)
+        none = [np.zeros(0, np.int64)]
+        return score, p, np.concatenate(begins or none), np.concatenate(stops or none)
 
 
 def _sigmoid(x):
@@ -214,18 +268,23 @@ def _scoring(shared):
         for b in batches:
             data, offsets = tk.string_buffers(b.column("text"))
             for lo, hi in tk.row_chunks(offsets):
-                s = Sentences(data, offsets, lo, hi)
-                score, p = model.scores(s)
                 n = hi - lo
+                if tk.is_long(offsets, lo, hi):
+                    score, p, begin, stop = model.score_long(data, int(offsets[lo]), int(offsets[hi]))
+                    text_of = np.zeros(len(p), np.int64)
+                else:
+                    s = Sentences(data, offsets, lo, hi)
+                    score, p = model.scores(s)
+                    begin, stop, text_of = s.begin, s.stop, s.text_of
                 # The sentence most to blame in each text: the last of its rows after a stable sort.
-                order = np.lexsort((p, s.text_of))
+                order = np.lexsort((p, text_of))
                 worst = np.full(n, -1, np.int64)
-                worst[s.text_of[order]] = order
+                worst[text_of[order]] = order
                 has = worst >= 0
                 pick = np.where(has, worst, 0)
                 take = lambda v, has=has, pick=pick: pa.array(np.where(has, v[pick], 0) if len(v) else np.zeros(len(has)), mask=~has)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").slice(lo, n), pa.array(score, pa.float64()), take(p).cast(pa.float64()), take(s.begin).cast(pa.int64()), take(s.stop).cast(pa.int64())], names=["doc_id", "score", "worst_score", "worst_begin", "worst_end"]
+                    [b.column("doc_id").slice(lo, n), pa.array(score, pa.float64()), take(p).cast(pa.float64()), take(begin).cast(pa.int64()), take(stop).cast(pa.int64())], names=["doc_id", "score", "worst_score", "worst_begin", "worst_end"]
                 )
 
     return run

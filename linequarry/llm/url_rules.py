@@ -17,7 +17,9 @@ the few rules that reach into it go to each of them.
 Defined results: null urls and urls without `://` have an empty host and path and
 get the default verdict, as does every url that no rule fits; repeated rows give one
 result each; rules with a null or empty host, or a verdict other than block or
-allow, are ignored; repeated rules count once.
+allow, are ignored; repeated rules count once, and of two verdicts for one rule block
+stays; an empty table of pages gives an empty result, without rules every url gets the
+default. Urls of any length are judged whole. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ from .runtime import ship, shuffle_parts, spread
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Keys looked at to place the cut points; they affect balance only, never results.
 SAMPLE_KEYS = 4000
+#: Longest cut point: the beginning of a key cuts as well as the key.
+KEY_CHARS = 256
 
 
 def host_of(url: Column) -> Column:
@@ -172,9 +176,9 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     right = rules.select(F.translate("host", _UPPER, _LOWER).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict").filter("host != '' and verdict in ('block', 'allow')")
     right = right.select(host_key(F.col("host")).alias("key"), F.lit(False).alias("is_page"), F.lit(None).cast("long").alias("row_id"), "host", "path", F.col("verdict").alias("rule_verdict"))
     parts = shuffle_parts(spark)
-    # Reservoir of bounded size: the keys with the least hashes of (id, key).
-    sample = left.select("key", F.xxhash64("row_id", "key").alias("h")).orderBy("h").limit(SAMPLE_KEYS).select("key")
-    cuts = cut_points([r["key"] for r in sample.collect()], parts)
+    # A draw of about SAMPLE_KEYS rows, whatever their number and however many are alike.
+    drawn = left.sample(min(1.0, SAMPLE_KEYS / max(1, left.count())), seed=17)
+    cuts = cut_points([r["key"] for r in drawn.select(F.substring("key", 1, KEY_CHARS).alias("key")).collect()], parts)
     deal_pages, deal_rules = _dealer(cuts)
     schema = "task int, key string, is_page boolean, row_id long, host string, path string, rule_verdict string"
     both = left.mapInArrow(deal_pages, schema).unionByName(right.mapInArrow(deal_rules, schema))

@@ -1,51 +1,99 @@
-"""Every operator over nulls, very long texts, repeated rows and ids, and clashing columns: one result per row, no crash."""
+"""Every registered query, and the pipeline, over nulls, very long texts, repeated rows and ids, clashing columns, and empty tables."""
+
+import zlib
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from linequarry.llm import byte_bpe, decontamination, fingerprints, language_id, near_duplicates, quality, repeated_passages, token_files, toxicity
+import corpus_pipeline
+from linequarry.llm import queries, repeated_passages, textkernel
 
+SAME = "same words here " * 20_000
 ROWS = [
     (1, "x" * 300_000, "en"),
-    (2, "same words here " * 20_000, "en"),
-    (3, "same words here " * 20_000, "en"),
+    (2, SAME, "en"),
+    (3, SAME, "en"),
     (4, None, None),
     (4, "another text under one id", "de"),
     (4, "another text under one id", "de"),
     (5, "", "en"),
     (6, "\n\t  \x0b", "en"),
     (7, "😀" * 5000 + " é日本" * 3000, None),
-    (8, "\x00\x01 �   　", "en"),
+    (8, "\x00\x01 �   　", "en"),
+    (9, "idiot" + "!" * 40 + " <|endoftext|> tail", "en"),
     (None, None, None),
     (None, "no id at all", "en"),
 ]
-PATH9 = public_tokenizers.path("byte_bpe_50k.tiktoken")
+URLS = ["http://A.example.net/en/x", "http://a.example.net/EN/", "", None, "no scheme", "http://", "://net", "http://" + "a." * 5000 + "net/", "http://net", "http://net"]
+
+
+def write(spark, folder, rows, urls, items, labels):
+    odd = lambda df: df.selectExpr("*", *[f"'{c}' AS {c}" for c in ("fingerprint", "row", "key", "node", "hits", "part", "at") if c not in df.columns])
+    odd(spark.createDataFrame([(*r, "s", len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")).repartition(3).write.parquet(f"{folder}/documents.parquet")
+    odd(spark.createDataFrame([(i, u, "<p>") for i, u in enumerate(urls)], "page_id long, url string, html string")).withColumns({c: F.lit(1) for c in ("host", "path", "task", "is_page", "verdict")}).write.parquet(f"{folder}/pages.parquet")
+    odd(spark.createDataFrame(items, "item_id long, text string")).write.parquet(f"{folder}/benchmark.parquet")
+    odd(spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).write.parquet(f"{folder}/labels.parquet")
 
 
 @pytest.fixture(scope="module")
-def docs(spark):
-    return spark.createDataFrame([(*r, "a", 1, "b", 2) for r in ROWS], "doc_id long, text string, lang string, fingerprint string, row int, key string, n long").repartition(3)
+def odd(spark, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("odd"))
+    items = [(1, "same words here " * 5), (None, "same words here " * 5), (2, None), (1, "same words here " * 5), (3, ""), (4, "idiot endoftext tail")]
+    write(spark, folder, ROWS, URLS, items, [(2, 1, 1), (3, 0, 0), (4, 1, 1), (None, 1, 0), (8, None, None), (2, 1, 1)])
+    return folder
+
+
+@pytest.fixture(scope="module")
+def empty(spark, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("empty"))
+    write(spark, folder, [], [], [], [])
+    return folder
+
+
+@pytest.mark.parametrize("name", queries.QUERIES)
+def test_query(spark, odd, empty, name):
+    rows = queries.QUERIES[name](spark, odd).collect()
+    if name == "op3_url_rules":
+        assert sorted(r["page_id"] for r in rows) == list(range(len(URLS)))
+        got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in rows}
+        assert got[0] == ("a.example.net", "/en/x", "example.net/en/", "allow") and got[1] == ("a.example.net", "/EN/", None, "allow")
+        assert got[2] == got[3] == got[4] == got[5] == ("", "", None, "allow") and got[6] == ("net", "", None, "allow")
+        assert got[7][2:] == ("net/", "block")
+    elif name == "op4_decontamination":
+        assert {r["doc_id"]: r["item_ids"] for r in rows} == {2: "1", 3: "1"}
+    else:
+        assert sorted((r["doc_id"] for r in rows), key=str) == sorted((r[0] for r in ROWS), key=str)
+    if name in ("op6_language_id", "op10_toxicity"):
+        base, rest = (5, 0) if name == "op6_language_id" else (4, 2)
+        assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % base == rest) for r in rows if r["doc_id"] is not None)
+        assert all(0 <= r["score"] <= 1 for r in rows)
+    if name == "op10_toxicity":
+        assert all(r["predicted"] == int(r["score"] >= 0.3) for r in rows)
+    if name == "op8_token_files":
+        library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+        assert {r["doc_id"]: r["n_tokens"] for r in rows}[9] == 1 + len(library.encode(ROWS[10][1], add_special_tokens=False).ids)
+    assert queries.QUERIES[name](spark, empty).collect() == []
+
 
+def test_pipeline(spark, odd, empty):
+    kept = corpus_pipeline.run(spark, odd).collect()
+    ids = sorted(str(r["doc_id"]) for r in kept)
+    # 2 and 3 hold benchmark text (3 is also a copy of 2); of the rows under 4 all go or all stay.
+    assert "2" not in ids and "3" not in ids and ids.count("None") == 2 and ids.count("4") in (0, 3)
+    assert corpus_pipeline.run(spark, empty).collect() == []
 
-OPERATORS = {
-    "edited_pairs": lambda d, s: fingerprints.edited_pairs(d),
-    "classes": lambda d, s: fingerprints.classes(d),
-    "near_duplicates": lambda d, s: near_duplicates.near_duplicates(d),
-    "cut_repeats": lambda d, s: repeated_passages.cut_repeats(d, carry=("key", "row", "text")),
-    "quality": lambda d, s: quality.judge(d, s.createDataFrame([(2,), (4,), (None,)], "doc_id long")),
-    "language_id": lambda d, s: language_id.predict(d, language_id.fit(d)),
-    "toxicity": lambda d, s: toxicity.score(d, toxicity.fit(d, s.createDataFrame([(2, 1), (3, 0), (4, 1), (None, 0), (8, None)], "doc_id long, toxic int"))),
-    "byte_bpe": lambda d, s: byte_bpe.decode(byte_bpe.encode(d, PATH9, public_tokenizers.PATTERN), PATH9),
-    "token_files": lambda d, s: token_files.read(s, *token_files.write(d, public_tokenizers.path("word_bpe_49k.json"))),
-}
 
+def test_staying_words():
+    import numpy as np
 
-@pytest.mark.parametrize("name", OPERATORS)
-def test_one_result_per_row(spark, docs, name):
-    ids = sorted((r["doc_id"] for r in OPERATORS[name](docs, spark).collect()), key=str)
-    assert ids == sorted((r[0] for r in ROWS), key=str)
+    for starts in ([], [0], [3, 4, 9], [0, 1, 2, 30]):
+        gone = {i for s in starts for i in range(s, s + 5)}
+        for first, count in ((0, 40), (2, 10), (8, 3), (33, 4)):
+            got = repeated_passages._staying(np.array(starts, np.int64), 5, first, count)
+            assert (got + first).tolist() == [i for i in range(first, first + count) if i not in gone]
 
 
-def test_decontamination(spark, docs):
-    bench = spark.createDataFrame([(1, "same words here " * 5, 3), (None, "same words here " * 5, 3), (2, None, 1), (1, "same words here " * 5, 3)], "item_id long, text string, row int")
-    assert sorted(r["doc_id"] for r in decontamination.contaminated(docs, bench).collect()) == [2, 3]
+def test_release_needs_nothing():
+    textkernel.release()

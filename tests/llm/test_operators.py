@@ -1,10 +1,12 @@
 """The ten operators on small tables: brute force, round trips, held-out accuracy, odd rows."""
 
 import hashlib
+import itertools
 import random
 import re
 import unicodedata
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -187,11 +189,92 @@ def test_decontamination(spark):
     bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)] + [(7, None)], "item_id long, text string")
     for rows in (500_000, 20):
         got = {r["doc_id"]: r["item_ids"] for r in decontamination.contaminated(table(spark, docs), bench, block_rows=rows).collect()}
-        assert got == {1: [0], 3: [2], 7: [1], 9: [0, 1]}
+        assert got == {1: [0], 3: [2], 7: [1], 8: [3], 9: [0, 1]}
     assert decontamination.contaminated(table(spark, []), bench).collect() == []
     assert decontamination.contaminated(table(spark, docs), bench.limit(0)).collect() == []
 
 
+def brute_overlaps(doc, item):
+    """Does some alignment of the item over the document have enough equal tokens in a stretch?"""
+    n = len(item)
+    width, need = min(n, 13), n if n < 10 else -(-8 * min(n, 13) // 10)
+    for g in range(-n + 1, len(doc)):
+        equal = [0 <= j + g < len(doc) and doc[j + g] == item[j] for j in range(n)]
+        if any(sum(equal[s : s + width]) >= need for s in range(n - width + 1)):
+            return True
+    return False
+
+
+def test_decontamination_finds_all_placements(spark):
+    items = {n: [f"i{n}t{k}" for k in range(n)] for n in (4, 5, 9, 10, 11, 12, 13, 20)}
+    docs = []
+    for n, item in items.items():
+        for pair in itertools.combinations(range(n), 2):
+            w = [t if k not in pair else f"z{k}" for k, t in enumerate(item)]
+            docs.append(w if sum(pair) % 2 else ["a", "b", *w, "c"])
+        for cut in range(4):
+            docs += [item[cut:], item[: n - cut], ["q", *item[:5], "q", *item[5:]]]
+    docs += [["a"] * 700 + items[20][3:16] + ["b"] * 700, [], items[13] * 300]
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    found = decontamination.contaminated(table(spark, [(i, " ".join(w), None) for i, w in enumerate(docs)]), bench, block_rows=15)
+    got = {r["doc_id"]: r["item_ids"] for r in found.collect()}
+    want = {i: [n for n, item in items.items() if n >= 5 and brute_overlaps(d, item)] for i, d in enumerate(docs)}
+    assert got == {i: x for i, x in want.items() if x}
+    assert sum(10 <= n <= 13 for x in got.values() for n in x) > 244
+
+
+def brute_bits(texts, scored, order=4):
+    """Bits of texts under an interpolated modified Kneser-Ney model, from its definition."""
+    grams = [Counter() for _ in range(order + 1)]
+    for t in texts:
+        padded = b"\n" * (order - 1) + t
+        for i in range(len(t)):
+            grams[order][padded[i : i + order]] += 1
+    for k in range(order - 1, 0, -1):
+        grams[k] = Counter(g[1:] for g in grams[k + 1])
+    discounts, totals, left = [], [], []
+    for g in grams:
+        n = [0, *(sum(c == k for c in g.values()) for k in (1, 2, 3, 4))]
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] + 2 * n[2] else 0.5
+        d = [k - (k + 1) * y * (n[k + 1] / n[k] if n[k] else 0) for k in (1, 2, 3)]
+        d = [max(0.05 * k, min(k - 0.05, x)) for k, x in enumerate(d, 1)]
+        discounts.append(d)
+        total, rest = Counter(), Counter()
+        for s, c in g.items():
+            total[s[:-1]] += c
+            rest[s[:-1]] += d[min(c, 3) - 1]
+        totals.append(total)
+        left.append(rest)
+
+    def p(context, byte):
+        k = len(context) + 1
+        lower = p(context[1:], byte) if k > 1 else 1 / 256
+        if not totals[k][context]:
+            return lower
+        c = grams[k][context + byte]
+        return ((c - discounts[k][min(c, 3) - 1] if c else 0) + left[k][context] * lower) / totals[k][context]
+
+    out = []
+    for t in scored:
+        padded = b"\n" * (order - 1) + t
+        out.append(-sum(np.log2(p(padded[i : i + order - 1], padded[i + order - 1 : i + order])) for i in range(len(t))))
+    return out
+
+
+def test_quality_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(quality, "BLOCK_BYTES", 600)
+    rnd = random.Random(9)
+    rows = [(i, " ".join(rnd.choice(["ab", "abc", "bca", "cé", "d"]) for _ in range(rnd.randint(1, 40))), "en") for i in range(60)] + [(100, "zz top\n" * 300, "en"), (101, "a", None)]
+    good = [i for i in range(40)]
+    got = {r["doc_id"]: r for r in quality.judge(table(spark, rows), spark.createDataFrame([(i,) for i in good], "doc_id long")).collect()}
+    taught = [t.encode() for i, t, _ in rows if i in good and zlib.crc32(str(i).encode()) % 5]
+    english = [(i, t.encode()) for i, t, lang in rows]
+    for (i, t), bits in zip(english, brute_bits(taught, [t for _, t in english]), strict=True):
+        assert got[i]["n_bytes"] == len(t)
+        assert got[i]["bits_per_byte"] == pytest.approx(bits / len(t), rel=1e-9)
+        assert got[i]["perplexity"] == pytest.approx(2 ** (bits / len(t)), rel=1e-9)
+
+
 def test_quality(spark):
     rnd = random.Random(3)
     parts = ["on", "er", "th", "an", "re", "ti", "es", "in"]
@@ -261,11 +344,10 @@ def test_repeated_passages(spark, heavy):
 
 def test_token_files(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
-    rows = corpus(40) + [(3000, "Don't  STOP… <|endoftext|> été ÉTÉ naïve éx 12,5% a.b", "en"), (3001, "wort " * 5000, "de")]
+    rows = corpus(40) + [(3000, "Don't  STOP… <|endoftext|> été ÉTÉ naïve éx 12,5% a.b", "en"), (3001, "wort " * 5000, "de"), (3002, "x <|endoftext|> y<|startoftext|>z <|ENDOFTEXT|> <|end", None), (3003, " ".join(thue_morse(10)), None), (3004, " ".join(thue_morse(10)[::-1]), None)]
     folder, files = token_files.write(table(spark, rows), path, length=16)
     got = token_files.read(spark, folder, files).collect()
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     start = 0
     by_id = {r["doc_id"]: r for r in got}
     assert len(got) == len(rows)
@@ -278,7 +360,7 @@ def test_token_files(spark):
     total = 0
     for k in range(-(-files[0]["n_tokens"] // 16)):
         ids, mask = reader.sequence(k)
-        assert len(ids) == len(mask) == 16
+        assert len(ids) == len(mask) == 16 and not ids.flags.owndata and not mask.flags.owndata
         total += int(mask.sum())
     assert total == files[0]["n_tokens"]
     assert any(token_files.SequenceReader(folder, f["file"]).sequences.num_record_batches > 1 for f in files)
@@ -310,6 +392,26 @@ def test_rank_bitmap():
         assert bitmap.first() == min(held, default=-1)
 
 
+def test_long_texts_score_as_whole(monkeypatch):
+    """Spans change no score: sentences that a span cuts are joined again."""
+    rnd = random.Random(12)
+    vocabulary = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(1, 9))) for _ in range(60)]
+    texts = ["".join(rnd.choice(vocabulary) + rnd.choice(["", "!!!", "."]) + rnd.choice([" ", "  ", "\n", " "]) for _ in range(n)) for n in (0, 1, 30, 400)]
+    bad = toxicity.train([rnd.choice(vocabulary[:50]) + " " + vocabulary[55] for _ in range(60)] + [" ".join(rnd.sample(vocabulary[:50], 9)) for _ in range(300)], [1] * 60 + [0] * 300, [1.0] * 360)
+    tongue = language_id.train(["kala mala " * 5, "grün föhn " * 5] * 20, ["aa", "bb"] * 20)
+    for limit in (7, 64, 1000):
+        monkeypatch.setattr(tk, "CHUNK_BYTES", limit)
+        monkeypatch.setattr(tk.spans, "__defaults__", (limit,))
+        for t in texts:
+            data, offsets = tk.string_buffers(pa.array([t]))
+            s = toxicity.Sentences(data, offsets, 0, 1)
+            score, p = bad.scores(s)
+            long = bad.score_long(data, 0, len(data))
+            assert long[0] == pytest.approx(score) and long[1] == pytest.approx(p)
+            assert long[2].tolist() == s.begin.tolist() and long[3].tolist() == s.stop.tolist()
+            assert tongue.score_long(data) == pytest.approx(tongue.scores(data, offsets))
+
+
 def test_toxicity(spark):
     rnd = random.Random(7)
     vocabulary = ["".join(rnd.choice("abcdefgh") for _ in range(4)) for _ in range(300)]
@@ -333,5 +435,8 @@ def test_toxicity(spark):
             worst = rows[i][1].encode()[got[i]["worst_begin"] : got[i]["worst_end"]].decode().lower()
             assert "zorx" in worst or "quuz" in worst
     assert 0 <= got[900]["score"] == got[901]["score"] < 0.3 and got[900]["worst_begin"] is None
+    odd = [(i, rows[i][1].replace(w, f"((({w}" + "!" * 30), None) for i, y in labels[:200] if y for w in ("zorx", "quuz") if w in rows[i][1]]
+    again = {r["doc_id"]: r["score"] for r in toxicity.score(table(spark, odd), model).collect()}
+    assert all(again[i] >= 0.3 for i, _, _ in odd)
     assert toxicity.fit(table(spark, rows), marks.limit(0)) is None
     assert toxicity.score(table(spark, rows[:1]), None).first()["score"] < 0.01
