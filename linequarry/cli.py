@@ -45,14 +45,14 @@ def options_of(a: argparse.Namespace) -> ScanOptions:
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     """0 done, 2 no such folder or no text, 130 cancelled."""
-    from .plans.registry import ENGINES
-    from .plans.scan import scan
+    from .plans.registry import listed
+    from .plans.scan import Cancelled, scan
     from .sinks import EXTENSIONS, export
 
     a = parser().parse_args(argv)
     if a.command == "engines":
-        for key, name, available in ENGINES:
-            print(f"{key:12} {name}{'' if available else ' (not available)'}")
+        for key, name, available, error in listed():
+            print(f"{key:12} {name}{'' if available else f' (not available: {error})'}")
         return 0
     if not Path(a.root).is_dir():
         print(f"no such folder: {a.root}", file=sys.stderr)
@@ -71,5 +71,5 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             print(*result.warnings_of_lines(options), sep="\n")
         print(out)
         return 0
-    except KeyboardInterrupt:
+    except (KeyboardInterrupt, Cancelled):
         return 130

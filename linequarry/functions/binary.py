@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 
+from ..sources import dsc
 from . import chars
 from .codec import decode_auto
 
@@ -88,7 +89,12 @@ def _rank(lines: list[str]) -> int:
 
 
 def compiled_lines(data: bytes, least: int = 2) -> list[str]:
-    """Lines of a compiled script: by its mark, else the better of a Shift-JIS and a UTF-16LE scan."""
+    """Lines of a compiled script: by its mark, else the better of a Shift-JIS and a UTF-16LE scan; what does not unpack has none."""
+    if data.startswith(dsc.MAGIC):
+        try:
+            data = dsc.unpack(data)
+        except ValueError:
+            return []
     if data.startswith((b"\xef\xbb\xbf", b"\xff\xfe")):
         found = [_clean(x) for x in decode_auto(data)[0].splitlines()]
     else:

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import chars
+from . import ordered, versions
 
 
 def explode_lines(df: DataFrame, text: str = "text", line_no: str = "line_no", line: str = "line") -> DataFrame:
@@ -19,34 +19,22 @@ def explode_lines(df: DataFrame, text: str = "text", line_no: str = "line_no", l
 
 def dedupe_in(df: DataFrame, scope: list[str], order: list[Column], speaker: str = "speaker", text: str = "text") -> DataFrame:
     """The first row of each (scope, speaker, text); an empty scope is the whole table."""
-    w = W.partitionBy(*scope, speaker, text).orderBy(*order)
-    return df.withColumn("_k", F.row_number().over(w)).filter("_k = 1").drop("_k")
+    return versions.first_wins(df, [*scope, speaker, text], order)
 
 
 def dense_index(df: DataFrame, group: list[str], inside: list[str], index: str = "index", start: int = 1) -> DataFrame:
     """Numbers from `start` without gaps, ordered by group, then by the order inside a group.
 
-    Rows are numbered inside their group; only one row per group meets in the running
-    sum of group sizes, so no task sees the table.
+    Rows are dealt to ranges of the whole order, so neither the table nor one group has to fit a task.
     """
-    sizes = df.groupBy(*group).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(W.orderBy(*group).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.withColumn("_before", before).drop("_n")
-    same = [df[g].eqNullSafe(offsets[g]) for g in group]
-    numbered = df.withColumn("_k", F.row_number().over(W.partitionBy(*group).orderBy(*inside)))
-    condition = same[0]
-    for s in same[1:]:
-        condition &= s
-    out = numbered.join(offsets, condition).select(*[numbered[c] for c in numbered.columns], offsets["_before"])
-    return out.withColumn(index, (F.col("_before") + F.col("_k") - 1 + start).cast("long")).drop("_k", "_before")
+    return ordered.numbered(df, [*group, *inside], index, start)
 
 
 def scenes(df: DataFrame, order: list[str], source: str = "source", scope: list[str] | None = None) -> DataFrame:
     """scene: number of the run of equal sources in order; a source that comes back is a new scene."""
-    w = W.partitionBy(*scope) if scope else W.partitionBy()
-    w = w.orderBy(*order)
-    changed = F.when(F.lag(source).over(w).eqNullSafe(F.col(source)) & F.lag(F.lit(1)).over(w).isNotNull(), 0).otherwise(1)
-    return df.withColumn("_c", changed).withColumn("scene", F.sum("_c").over(w.rowsBetween(W.unboundedPreceding, 0)).cast("long")).drop("_c")
+    if scope:
+        return ordered.run_numbers_in(df, scope, order, source, "scene")
+    return ordered.run_numbers(df, order, source, "scene")
 
 
 def search(df: DataFrame, query: str, source: str | None = None) -> DataFrame:
@@ -56,9 +44,9 @@ def search(df: DataFrame, query: str, source: str | None = None) -> DataFrame:
     return df.filter(hit if source is None else (F.col("source") == source) & hit)
 
 
-def positions_by_source(df: DataFrame) -> DataFrame:
-    """Source, its line numbers in order."""
-    return df.groupBy("source").agg(F.array_sort(F.collect_list("index")).alias("positions"))
+def positions_by_source(df: DataFrame, chunk: int = 100_000) -> DataFrame:
+    """source, part, positions: its line numbers in order; a row holds those of one range of `chunk` numbers."""
+    return df.groupBy("source", F.floor(F.col("index") / chunk).alias("part")).agg(F.array_sort(F.collect_list("index")).alias("positions"))
 
 
 def preview(df: DataFrame, order: list, limit: int = 20_000) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import clean
+from ..storage import staged
+from .ordered import running_sum
 
 # Suffixes of archives, extractors of extensions.
 ARCHIVES = (".xp3", ".nsa", ".sar", ".arc", ".ypf", ".pfs", ".pak", ".g00")
@@ -29,8 +33,15 @@ def override_rank(container: Column, inner: Column) -> Column:
 
 
 def first_wins(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key; the order must be total for a defined result."""
-    return df.withColumn("_k", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter("_k = 1").drop("_k")
+    """The first row of each key; the order must be total for a defined result.
+
+    An aggregation with partial results: a key that very many rows share leaves each task as one row.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    if not rest:
+        return df.dropDuplicates(keys)
+    first = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_first"))
+    return first.select(*[F.col(f"_first.{c}").alias(c) if c in rest else F.col(c) for c in df.columns])
 
 
 def without_paths(plain: DataFrame, special: DataFrame, path: str = "virtual_path") -> DataFrame:
@@ -39,35 +50,57 @@ def without_paths(plain: DataFrame, special: DataFrame, path: str = "virtual_pat
 
 
 def resolve_overrides(scripts: DataFrame, order: list[Column], inner: str = "inner", container: str = "container", label: str = "virtual_path") -> DataFrame:
-    """All rows with kept (boolean) and winner (label of the kept row of the same inner path)."""
-    w = W.partitionBy(F.lower(F.col(inner))).orderBy(override_rank(F.col(container), F.col(inner)).desc(), *order)
-    return scripts.withColumn("winner", F.first(label).over(w)).withColumn("kept", F.row_number().over(w) == 1)
+    """All rows with kept (boolean) and winner (label of the kept row of the same inner path); labels are unique.
+
+    Two aggregations with partial results find the winners: the highest rank, then the first of its rows.
+    """
+    ranked = scripts.withColumn("_key", F.lower(F.col(inner))).withColumn("_rank", override_rank(F.col(container), F.col(inner)))
+    best = ranked.groupBy("_key").agg(F.max("_rank").alias("_best"))
+    top = ranked.join(best, "_key").filter(F.col("_rank") == F.col("_best"))
+    winners = top.groupBy("_key").agg(F.min_by(label, F.struct(*order)).alias("winner"))
+    out = ranked.join(winners, "_key")
+    return out.withColumn("kept", F.col(label) == F.col("winner")).select(*scripts.columns, "winner", "kept")
 
 
 def within_size(df: DataFrame, most: int, size: str = "size") -> DataFrame:
     return df.filter(F.col(size) <= most)
 
 
+def _fitting(budget: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = budget
+        for b in batches:
+            taken = []
+            for k, size in enumerate(b.column(1).to_pylist()):
+                if size <= left:
+                    left -= size
+                    taken.append(k)
+            yield b.select([0]).take(pa.array(taken, pa.int64()))
+
+    return run
+
+
 def greedy_budget(df: DataFrame, budget: int, order: str, size: str = "size") -> DataFrame:
     """Rows taken in order while they fit; a row that would overflow is skipped, later smaller ones may fit.
 
-    The fold runs over (order, size) alone. It is sequential by definition, so it is one
-    aggregation over metadata; a table that fits whole skips it.
+    `order` is unique. All rows before the first that overflows are taken, found by sums over
+    ranges. Only (order, size) of later rows that could still fit go through the one task
+    that the rule needs, as a stream in order.
     """
     total = df.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
     if total <= budget:
         return df
-    rows = df.agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("s")))).alias("rows"))
-    state = "named_struct('used', 0L, 'kept', cast(array() as array<{t}>))".format(t=df.schema[order].dataType.simpleString())
-    fold = f"aggregate(rows, {state}, (a, r) -> if(a.used + r.s <= {budget}, named_struct('used', a.used + r.s, 'kept', array_append(a.kept, r.o)), a), a -> a.kept)"
-    kept = rows.select(F.explode(F.expr(fold)).alias(order))
+    sums = staged(running_sum(df.select(F.col(order), F.col(size).cast("long").alias("_size")), [order], "_size", "_sum"), "sums")
+    head = sums.filter(F.col("_sum") <= budget)
+    left = budget - head.agg(F.coalesce(F.max("_sum"), F.lit(0))).first()[0]
+    later = sums.filter((F.col("_sum") > budget) & (F.col("_size") <= left)).select(order, "_size").repartition(1).sortWithinPartitions(order)
+    kept = head.select(order).unionByName(later.mapInArrow(_fitting(left), sums.select(order).schema))
     return df.join(kept, order, "left_semi").select(*df.columns)
 
 
 def prefix_budget(df: DataFrame, budget: int, order: str, size: str = "size") -> DataFrame:
     """Rows in order up to the first that would overflow."""
-    running = F.sum(size).over(W.orderBy(order).rowsBetween(W.unboundedPreceding, 0))
-    return df.withColumn("_sum", running).filter(F.col("_sum") <= budget).drop("_sum")
+    return running_sum(df, [order], size, "_sum").filter(F.col("_sum") <= budget).select(*df.columns)
 
 
 def extractor(engine: Column, path: Column) -> Column:

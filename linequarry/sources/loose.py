@@ -1,11 +1,15 @@
-"""Loose script files through Spark's binaryFile reader."""
+"""Loose script files: listing by Spark, engines by name and extension."""
 
 from __future__ import annotations
 
+import os
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import clean, codec
+from ..functions import clean
+from ..operators.versions import prefix_budget
 
 # Extensions that are read, folders and extensions that are not.
 SCRIPT_EXT = (".ks", ".tjs", ".txt", ".ws2", ".mes", ".scn", ".sn", ".s", ".spt", ".asd", ".dat", ".ini", ".csv", ".tsv", ".lst", ".def", ".jaf", ".inc", ".mac", ".cfg", ".nscript", ".script", ".text")
@@ -18,50 +22,55 @@ SKIP_EXT = (
     ".aac", ".wma", ".mid", ".mp4", ".avi", ".wmv", ".mkv", ".webm", ".mov", ".mpg", ".mpeg", ".rmvb", ".zip", ".rar", ".7z", ".gz", ".bz2", ".xz", ".cab", ".lzh", ".exe", ".dll",
     ".so", ".sys", ".ocx", ".msi", ".ttf", ".otf", ".ttc", ".fon", ".fot", ".db", ".sqlite", ".pdf", ".chm", ".hlp", ".xp3", ".arc", ".ypf", ".pfs", ".pak",
 )
+#: Compiled scripts beside the ones above.
+COMPILED_EXT = (".ws2", ".ws", ".dsc", ".src", ".sc", ".mjo")
+KAG_EXT = (".ks", ".kag", ".tjs")
+KAG_BYTES = 32 << 20
+#: Bytes that the gate of loose text looks at.
+GATE_BYTES = 16384
 NSCRIPT_NAMES = ("nscript.dat", "nscript.txt", "nscript.___", "nscript.old", "00.txt", "0.txt", "00_.txt")
 
 
-def extension_glob(extensions: tuple[str, ...]) -> str:
-    """A file name pattern for extensions in any case."""
-    one = lambda ext: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in ext[1:])
-    return "*.{" + ",".join(map(one, extensions)) + "}"
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """path, rel, length of all files under a root, which may be one file; no file is opened."""
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    local = root.removeprefix("file://").removeprefix("file:")
+    base = os.path.dirname(local) if os.path.isfile(local) else local.split("://")[-1]
+    rel = F.regexp_replace(F.col("path"), r"\A.*?\Q" + base.rstrip("/") + r"\E/", "")
+    return df.select("path", rel.alias("rel"), "length")
 
 
-def files(spark: SparkSession, root: str, extensions: tuple[str, ...] = ()) -> DataFrame:
-    """path, rel, length, content of the files under a root; files of other extensions are not opened."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if extensions:
-        reader = reader.option("pathGlobFilter", extension_glob(extensions))
-    df = reader.load(root)
-    base = root.rstrip("/")
-    rel = F.regexp_replace(F.col("path"), r"\A.*?" + _literal(base.split("://")[-1].removeprefix("file:")) + "/", "")
-    return df.select("path", rel.alias("rel"), "length", "content")
+def is_archive_place(ext: str, rel: str) -> bool:
+    """BGI archives count in the root and in its folder `data` only."""
+    return ext != ".arc" or re.fullmatch(r"(?:(?i:data)/)?[^/]*", rel) is not None
 
 
-def _literal(s: str) -> str:
-    return r"\Q" + s + r"\E"
+def engine_of(rel: str, length: int, max_file_bytes: int) -> str | None:
+    """Engine of a loose script by its name; None for what is no script, too large, empty, or in a folder that is skipped."""
+    *folders, name = rel.lower().split("/")
+    ext = os.path.splitext(name)[1]
+    if not length or any(f in SKIP_DIRS for f in folders):
+        return None
+    if name in NSCRIPT_NAMES:
+        engine = "nscripter"
+    elif ext in KAG_EXT:
+        return "kirikiri" if length <= min(KAG_BYTES, max_file_bytes) else None
+    elif ext in COMPILED_EXT:
+        engine = "bgi"
+    elif ext in SCRIPT_EXT:
+        engine = "plaintext"
+    else:
+        return None
+    return engine if length <= max_file_bytes else None
 
 
 def in_skipped_dir(rel: Column) -> Column:
     return F.exists(F.slice(F.split(F.lower(rel), "/"), F.lit(1), F.size(F.split(rel, "/")) - 1), lambda d: d.isin(*SKIP_DIRS))
 
 
-def plain_scripts(spark: SparkSession, root: str, max_file_bytes: int = 16 << 20) -> DataFrame:
-    """Loose script files that look like text; engines by name and extension."""
-    rel, ext = F.col("rel"), clean.extension(F.col("rel"))
-    name = F.lower(F.regexp_extract(rel, r"([^/]*)\z", 1))
-    engine = F.when(name.isin(*NSCRIPT_NAMES), "nscripter").when(ext.isin(".ks", ".kag", ".tjs"), "kirikiri").when(ext == ".ws2", "bgi").otherwise("plaintext")
-    df = files(spark, root, (*SCRIPT_EXT, ".___", ".old")).filter((F.col("length") > 0) & (F.col("length") <= max_file_bytes) & (ext.isin(*SCRIPT_EXT) | name.isin(*NSCRIPT_NAMES)) & ~in_skipped_dir(rel)).withColumn("engine", engine)
-    # Hidden scripts and compiled ones are no text yet; their gate is at extraction.
-    kept = df.filter(F.col("engine").isin("nscripter", "bgi") | codec.text_like(F.substring("content", 1, 16384)))
-    return kept.select("engine", F.col("rel").alias("virtual_path"), F.lit("").alias("container"), F.col("content").alias("data"), F.col("length").alias("size"), F.lit(None).cast("string").alias("error"))
-
-
-def generic_files(spark: SparkSession, root: str, max_file_bytes: int = 16 << 20, max_total_bytes: int = 256 << 20) -> DataFrame:
-    """Every file of 64 bytes or more that is no known resource, in path order up to the total limit."""
-    from ..operators.versions import prefix_budget
-
-    df = files(spark, root).filter(F.col("length").between(64, max_file_bytes) & ~clean.extension(F.col("rel")).isin(*SKIP_EXT))
-    taken = prefix_budget(df.select("path", "length"), max_total_bytes, "path", "length").select("path")
-    df = df.join(taken, "path", "left_semi")
-    return df.select(F.lit("generic").alias("engine"), F.col("rel").alias("virtual_path"), F.lit("").alias("container"), F.col("content").alias("data"), F.col("length").alias("size"), F.lit(None).cast("string").alias("error"))
+def generic_files(files: DataFrame, max_file_bytes: int = 16 << 20, max_total_bytes: int = 256 << 20) -> DataFrame:
+    """Index rows for every file of 64 bytes or more that is no known resource, in path order up to the total limit."""
+    some = files.filter(F.col("length").between(64, max_file_bytes) & ~clean.extension(F.col("rel")).isin(*SKIP_EXT)).select("path", "rel", "length")
+    taken = prefix_budget(some, max_total_bytes, "path", "length")
+    none = F.lit(None).cast("string")
+    return taken.select(F.lit("generic").alias("engine"), F.col("rel").alias("virtual_path"), F.lit("").alias("container"), F.col("length").alias("size"), none.alias("error"), "path", none.alias("member"))
