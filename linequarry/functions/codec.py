@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -37,15 +38,15 @@ def plausible_utf16(sample: bytes, little: bool) -> bool:
     return len(units) >= 12 and float((chars.BMP_WEIGHT[units] >= 1).mean()) >= 0.95
 
 
-def _certain(data: bytes) -> Decoded | None:
-    """What a mark or strict UTF-8 settles."""
+def _certain(data: bytes, cut: bool = False) -> Decoded | None:
+    """What a mark or strict UTF-8 settles; a cut may have split the last character."""
     if not data:
         return Decoded("", "empty", 0.0)
     marked = [Decoded(data[len(m) :].decode(codec, "replace"), name, 1.0) for m, codec, name in MARKS if data.startswith(m)][:1]
     if marked:
         return marked[0]
     try:
-        return Decoded(data.decode("utf-8"), "utf-8", 1.0)
+        return Decoded(codecs.getincrementaldecoder("utf-8")().decode(data, not cut), "utf-8", 1.0)
     except UnicodeDecodeError:
         return None
 
@@ -56,9 +57,12 @@ def encoding_scores(sample: bytes) -> dict[str, float]:
     return {c: chars.language_score(sample.decode(c, "replace")) for c in fits}
 
 
-def decode_auto(data: bytes) -> Decoded:
-    """Text, encoding and confidence: mark, else strict UTF-8, else the candidate whose text scores best."""
-    found = _certain(data)
+def decode_auto(data: bytes, cut: bool = False) -> Decoded:
+    """Text, encoding and confidence: mark, else strict UTF-8, else the candidate whose text scores best.
+
+    `cut` says that the data is the beginning of something longer.
+    """
+    found = _certain(data, cut)
     if found is None:
         scores = encoding_scores(data[:SAMPLE])
         # max() takes the first of equals, and cp932 always is there to be scored.
@@ -77,7 +81,7 @@ def decode_ladder(data: bytes) -> Decoded:
         name = next((n for m, _, n in MARKS if len(m) < 4 and data.startswith(m)), "empty")
         return Decoded(decode_with(data, name.removesuffix("-sig")).removeprefix("\ufeff") if data else "", name, float(bool(data)))
     head = np.frombuffer(data[:4096], np.uint8)
-    wide = len(head) >= 4 and np.count_nonzero(head == 0) > max(1, int(LADDER_ZEROS * len(head)))
+    wide = len(head) >= 4 and bool(np.count_nonzero(head == 0) > max(1, int(LADDER_ZEROS * len(head))))
     for name in ("utf-16-le",) * wide + ("utf-8", "cp932", "gbk"):
         try:
             return Decoded(data.decode(name), name, 1.0)
@@ -113,7 +117,8 @@ class Gate:
         head = np.frombuffer(data[:4096], np.uint8)
         if not data.startswith(self.excused) and np.count_nonzero(head == 0) > max(self.spare, self.zeros * len(head)):
             return False
-        return self.admits(decode_auto(data[: self.sample]), len(data) > self.sample)
+        cut = len(data) > self.sample
+        return self.admits(decode_auto(data[: self.sample], cut), cut)
 
 
 _WIDE_MARKS = (b"\xff\xfe", b"\xfe\xff")

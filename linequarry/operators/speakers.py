@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import chars, clean, dialogue
 from ..options import CleanOptions
+from .lines import explode_lines
 
 
 def carry_forward(df: DataFrame, value: str, scope: list[str], order: list, out: str = "carried") -> DataFrame:
@@ -58,3 +59,9 @@ def dialogue_rows(candidates: DataFrame, opts: CleanOptions, scope: list[str] |
     named = F.when(speaker == "", label).otherwise(speaker) if opts.narration_speaker else speaker
     # Normalised here, so that deduplication sees what comes out.
     return rows.select(*keep, "sub_no", clean.squeeze(named).alias("speaker"), F.col("pair.text").alias("text"))
+
+
+def dialogue_of_text(texts: DataFrame, opts: CleanOptions, key: str = "script_id", text: str = "text") -> DataFrame:
+    """dialogue_rows of whole texts, one a script; line numbers start at 0."""
+    rows = explode_lines(texts.select(F.col(key), F.col(text).alias("text")))
+    return dialogue_rows(rows.withColumn("hint", F.lit("")), opts, [key])

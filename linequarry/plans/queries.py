@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import chars, clean, dialogue
 from ..operators import kag, lines, nscript, speakers, versions
 from ..options import CleanOptions
+from . import file_queries, text_queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,14 +32,6 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _quote(v) -> str:
-    return "NULL" if v is None else str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
-
-
-def _values(rows: list[tuple], names: str) -> str:
-    return f"(VALUES {', '.join('(' + ', '.join(map(_quote, r)) + ')' for r in rows)}) AS t({names})"
-
-
 #: RE2 spells the blank class of chars.BLANK the same way as Java.
 def _strip(c: str) -> str:
     return rf"regexp_replace({c}, '\A{chars.RE_BLANK}+|{chars.RE_BLANK}+\z', '', 'g')"
@@ -70,18 +63,6 @@ def strip_angle_tags(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("html", clean.ANGLE_TAG, "").alias("text"))
 
 
-_TAGGED = [(1, "[r]甲[name text=\"乙\"]「丙」[/ruby]"), (2, "<br>漢<color=#fff>字</color>"), (3, "行\\n{0x12}末\\t"), (4, "[bad tag<3>]x < y > z"), (5, "")]
-
-
-@_query(rf"SELECT id, regexp_replace(regexp_replace(regexp_replace(s, '{clean.BRACKET_TAG}', '', 'g'), '{clean.ANGLE_TAG}', '', 'g'), '{clean.CONTROL}', '', 'g') AS text FROM {_values(_TAGGED, 'id, s')}")
-def strip_bracket_tags(spark, sf_dir):
-    """F7, all three patterns."""
-    return spark.createDataFrame(_TAGGED, "id int, s string").select("id", clean.strip_tags(F.col("s")).alias("text"))
-
-
-_SPACED = [(1, "  甲　　乙  丙\t"), (2, "あ！！！！！い。。。。"), (3, "x​y﻿z\r\nw"), (4, "がく"), (5, "!!!? ????"), (6, ""), (7, "ーーーー〜〜〜")]
-
-
 def _sql_normal(c: str) -> str:
     c = rf"regexp_replace(regexp_replace({c}, '{chars.RE_ZERO_WIDTH}|\r', '', 'g'), '[ \t\n\x{{3000}}\x{{A0}}]+', ' ', 'g')"
     # RE2 has no back-references: one replacement for each mark.
@@ -90,12 +71,6 @@ def _sql_normal(c: str) -> str:
     return _strip(f"nfc_normalize({c})")
 
 
-@_query(f"SELECT id, {_sql_normal('s')} AS text FROM {_values(_SPACED, 'id, s')}")
-def whitespace_normalise(spark, sf_dir):
-    """F6."""
-    return spark.createDataFrame(_SPACED, "id int, s string").select("id", clean.normalize_text(F.col("s")).alias("text"))
-
-
 @_query(f"SELECT doc_id, {_sql_normal('text')} AS text FROM documents")
 def normalise_documents(spark, sf_dir):
     """F6 over whole documents."""
@@ -106,57 +81,12 @@ def _symbols(c: str) -> str:
     return f"(length({c}) - length(translate({c}, '{clean.CODE_SYMBOLS}', '')))"
 
 
-
-
 @_query(f"SELECT doc_id, CASE WHEN length(text) = 0 THEN 1.0 ELSE CAST({_symbols('text')} AS DOUBLE) / length(text) END AS ratio FROM documents")
 def symbol_ratio(spark, sf_dir):
     """P3."""
     return _table(spark, sf_dir, "documents").select("doc_id", clean.symbol_ratio(F.col("text")).cast("double").alias("ratio"))
 
 
-_TEXTS = [(1, "おはよう"), (2, "你好，世界"), (3, "hello"), (4, "ｶﾀｶﾅ"), (5, "・・・"), (6, "한국어"), (7, ""), (8, "㈱々〆"), (9, "。。"), (10, "漢字とkana")]
-
-
-@_query(f"SELECT count(*) FILTER (regexp_matches(s, '{chars.RE_KANA}')) AS kana_lines, CAST(count(*) FILTER (regexp_matches(s, '{chars.RE_KANA}')) AS DOUBLE) / greatest(1, count(*)) AS ratio FROM {_values(_TEXTS, 'id, s')}")
-def kana_ratio(spark, sf_dir):
-    """A5."""
-    return lines.kana_share(spark.createDataFrame(_TEXTS, "id int, s string"), "s")
-
-
-@_query(
-    "SELECT id, " + ", ".join(f"regexp_matches(s, '{c}') AS {n}" for n, c in (("cjk_letter", chars.RE_CJK_LETTER), ("kana", chars.RE_KANA), ("full_kana", chars.RE_FULL_KANA), ("ideograph", chars.RE_IDEOGRAPH), ("punct", chars.RE_CJK_PUNCT))) + f" FROM {_values(_TEXTS, 'id, s')}"
-)
-def char_class(spark, sf_dir):
-    """F8 to F11."""
-    s = F.col("s")
-    return spark.createDataFrame(_TEXTS, "id int, s string").select("id", chars.has_cjk_letter(s).alias("cjk_letter"), chars.has_kana(s).alias("kana"), chars.has_full_kana(s).alias("full_kana"), chars.has_ideograph(s).alias("ideograph"), chars.has_cjk_punct(s).alias("punct"))
-
-
-_STARTS = [(i, t) for i, t in enumerate(["; x", ";x", "int x", "int  x", "else", "elsewhere", "*label", "* a", "// c", "end", "ending", "End.", "見よ http://a", "</a>", "  goto x", "sf.x", "function", "普通の文", "se=1", "", "　", "bgm (x)", "Window.open", "playing", "def f"])]
-
-
-@_query(f"SELECT id, regexp_matches(s, '{clean.command_pattern()}') AS command FROM {_values(_STARTS, 'id, s')}")
-def command_prefix(spark, sf_dir):
-    """P2."""
-    return spark.createDataFrame(_STARTS, "id int, s string").select("id", clean.looks_like_command(F.col("s")).alias("command"))
-
-
-_SHAPES = [(i, t) for i, t in enumerate(["こんにちは、世界。", "か", "hello", "x=1;y=2;漢", "((漢字)", "(((漢字", "{a}{漢字}", "漢字", "ひらがな" * 120, "goto 漢字", "print(\"漢字\")", "一二三"])]
-def _surplus(a: str, b: str) -> str:
-    return f"abs(length(translate(s, '{a}', '')) - length(translate(s, '{b}', ''))) <= 1"
-
-
-
-
-@_query(
-    f"""SELECT id, length(s) BETWEEN 2 AND 400 AND regexp_matches(s, '{chars.RE_CJK_LETTER}') AND NOT regexp_matches(s, '{clean.command_pattern()}') AND NOT regexp_matches(s, '^[\\x00-\\x7F]*$')
-    AND {_symbols("s")} <= 0.3 * length(s) AND {_surplus("(", ")")} AND {_surplus("{", "}")} AS dialogue FROM {_values(_SHAPES, "id, s")}"""
-)
-def dialogue_shape(spark, sf_dir):
-    """P1 with default options."""
-    return spark.createDataFrame(_SHAPES, "id int, s string").select("id", clean.dialogue_shape(F.col("s"), CleanOptions()).alias("dialogue"))
-
-
 # Deduplication, versions, ordering.
 @_query("SELECT doc_id, lang, text FROM (SELECT *, row_number() OVER (PARTITION BY lang, text ORDER BY doc_id) AS k FROM documents) WHERE k = 1")
 def first_wins_dedupe(spark, sf_dir):
@@ -180,39 +110,6 @@ def override_winner(spark, sf_dir):
     return out.select("doc_id", "inner_path", "source", "kept", "winner")
 
 
-_PATHS = [(i, p) for i, p in enumerate(["data.xp3/a/b.ks", "Patch.XP3/a/b.ks", "scenario/loose.ks", "sub/data.xp3/a.ks", "arc.nsa/x\\y.txt", "nscript.dat", "a.arc/s.ws2", "b.pak", "x.TJS", "readme", "d.mes"])]
-_SLASH = "replace(p, '\\', '/')"
-_PACKED = "regexp_matches(lower(regexp_extract({s}, '^([^/]+)/', 1)), '(\\.xp3|\\.nsa|\\.sar|\\.arc|\\.ypf|\\.pfs|\\.pak|\\.g00)$')".format(s=_SLASH)
-
-
-@_query(f"SELECT id, CASE WHEN {_PACKED} THEN regexp_extract({_SLASH}, '^([^/]+)/', 1) ELSE '' END AS container, CASE WHEN {_PACKED} THEN regexp_replace({_SLASH}, '^[^/]+/', '') ELSE {_SLASH} END AS inner_path FROM {_values(_PATHS, 'id, p')}")
-def split_path(spark, sf_dir):
-    """R5."""
-    s = versions.split_virtual_path(F.col("p"))
-    return spark.createDataFrame(_PATHS, "id int, p string").select("id", s["container"].alias("container"), s["inner"].alias("inner_path"))
-
-
-@_query(
-    f"SELECT id, CASE lower(regexp_extract(p, '(\\.[^./\\\\]*)$', 1)) {' '.join(f'WHEN {_quote(k)} THEN {_quote(v)}' for k, v in versions.ROUTES.items())} ELSE 'plaintext' END AS extractor FROM {_values(_PATHS, 'id, p')}"
-)
-def ext_route(spark, sf_dir):
-    """R9, F19."""
-    return spark.createDataFrame(_PATHS, "id int, p string").select("id", versions.extractor(F.lit("plaintext"), F.col("p")).alias("extractor"))
-
-
-_SIZES = [(1, 40), (2, 70), (3, 30), (4, 25), (5, 20), (6, 5), (7, 1)]
-
-
-@_query(
-    f"""WITH RECURSIVE t AS (SELECT * FROM {_values(_SIZES, "ord, size")}), f AS (SELECT 0 AS ord, 0 AS used, false AS kept UNION ALL
-    SELECT t.ord, CASE WHEN f.used + t.size <= 100 THEN f.used + t.size ELSE f.used END, f.used + t.size <= 100 FROM f JOIN t ON t.ord = f.ord + 1)
-    SELECT t.ord, t.size FROM f JOIN t USING (ord) WHERE kept"""
-)
-def greedy_budget(spark, sf_dir):
-    """R4."""
-    return versions.greedy_budget(spark.createDataFrame(_SIZES, "ord int, size int"), 100, "ord")
-
-
 @_query("SELECT doc_id, n_chars FROM (SELECT doc_id, n_chars, sum(n_chars) OVER (ORDER BY doc_id) AS s FROM documents) WHERE s <= 500000")
 def prefix_budget(spark, sf_dir):
     """S3: stops at the first row that would overflow."""
@@ -258,10 +155,11 @@ def topk_preview(spark, sf_dir):
 
 @_query("SELECT source, count(*) AS n, min(doc_id) AS first_id, max(doc_id) AS last_id FROM documents GROUP BY source")
 def positions_by_source(spark, sf_dir):
-    """R18, with the list of positions told by its length and ends."""
+    """R18, with the lists of positions told by their lengths and ends."""
     docs = _table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("index"))
     p = F.col("positions")
-    return lines.positions_by_source(docs).select("source", F.size(p).cast("long").alias("n"), p[0].alias("first_id"), F.element_at(p, -1).alias("last_id"))
+    lists = lines.positions_by_source(docs, 64).select("source", F.size(p).cast("long").alias("n"), p[0].alias("low"), F.element_at(p, -1).alias("high"))
+    return lists.groupBy("source").agg(F.sum("n").alias("n"), F.min("low").alias("first_id"), F.max("high").alias("last_id"))
 
 
 # Aggregates, projections.
@@ -286,75 +184,21 @@ def template_projection(spark, sf_dir):
     return rows.select("index", F.col("role").alias("speaker"), "text", F.lit("").alias("translation"), F.col("conv_id").cast("string").alias("source"), clean.display(F.col("role"), F.col("text")).alias("display"))
 
 
-@_query("SELECT source, 'kept' AS state, count(*) AS n FROM documents WHERE doc_id IN (SELECT min(doc_id) FROM documents GROUP BY md5(text)) GROUP BY source UNION ALL SELECT source, 'overridden', count(*) FROM documents WHERE doc_id NOT IN (SELECT min(doc_id) FROM documents GROUP BY md5(text)) GROUP BY source")
-def report_rows(spark, sf_dir):
-    """Kept and overridden scripts per source, first text wins."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", F.md5("text").alias("inner_path"))
-    w = W.partitionBy("inner_path").orderBy("doc_id")
-    state = F.when(F.row_number().over(w) == 1, "kept").otherwise("overridden")
-    return docs.withColumn("state", state).groupBy("source", "state").agg(F.count("*").alias("n"))
-
-
-# Dialogue, scripts.
-_DIALOGUE = [(i, t) for i, t in enumerate(["悠斗「おはよう、先輩。」", "「二つ」と「三つ」", "葵：こんにちは", "彼は「私は『本棚』を」と", "雨が降った！！！！！", "hello world", "甲「一二」乙「三四」", "print(\"日本語です\")", "", "『ただいま』"])]
-_DIALOGUE_OUT = [(0, 0, "悠斗", "おはよう、先輩。"), (1, 0, "", "二つ"), (1, 1, "", "三つ"), (2, 0, "葵", "こんにちは"), (3, 0, "彼は", "私は『本棚』を"), (4, 0, "", "雨が降った！！"), (6, 0, "甲", "一二"), (6, 1, "", "三四"), (7, 0, "", "日本語です"), (9, 0, "", "ただいま")]
-
-
-@_query(f"SELECT id, sub_no, speaker, text FROM {_values(_DIALOGUE_OUT, 'id, sub_no, speaker, text')}")
-def dialogue_extract(spark, sf_dir):
-    """E1."""
-    rows = spark.createDataFrame(_DIALOGUE, "id int, line string").withColumn("p", dialogue.prepared(F.col("line"), CleanOptions()))
-    rows = rows.withColumn("e", dialogue.extract(F.col("p"), CleanOptions())).select("id", F.posexplode("e").alias("sub_no", "x"))
-    return rows.select("id", "sub_no", F.col("x.speaker").alias("speaker"), F.col("x.text").alias("text"))
-
+_FIRST = "(SELECT *, min(doc_id) OVER (PARTITION BY md5(text)) AS winner FROM documents)"
 
-_DECLARED = [(1, '[name text="悠斗"]', "悠斗"), (2, "[chara_mod name=葵 face=a]", "葵"), (3, "[name 悠斗]", "悠斗"), (4, '[bg name="x"]', ""), (5, "[chara_show facename=a name=b]", "b"), (6, "[NAME value='丙']い", "丙"), (7, "[name]", ""), (8, "なし", "")]
 
-
-@_query(f"SELECT id, speaker FROM {_values([(i, x) for i, _, x in _DECLARED], 'id, speaker')}")
-def speaker_declaration(spark, sf_dir):
-    """E3."""
-    rows = spark.createDataFrame([(i, s) for i, s, _ in _DECLARED], "id int, line string")
-    return rows.select("id", dialogue.declaration(F.col("line")).alias("speaker"))
-
-
-_NAMED = ["悠斗", "おはよう。", "", "葵", "葵「はい」", "翌日", "[name text=\"丙\"]", "雨。", "悠斗", "風。"]
-_NAMED_OUT = [(1, "悠斗", "おはよう。"), (4, "葵", "はい"), (5, "悠斗", "翌日"), (7, "丙", "雨。"), (9, "悠斗", "風。")]
-
-
-@_query(f"SELECT line_no, speaker, text FROM {_values(_NAMED_OUT, 'line_no, speaker, text')}")
-def bare_name_lead(spark, sf_dir):
-    """W1 to W4 with guessed names."""
-    rows = spark.createDataFrame([("s", i, "", t) for i, t in enumerate(_NAMED)], "script_id string, line_no int, hint string, line string")
-    return speakers.dialogue_rows(rows, CleanOptions(guess_bare_speakers=True)).select("line_no", "speaker", "text")
-
-
-_KAG_TEXT = [(i, t) for i, t in enumerate(["[[笑] a", '[if exp="a]b"]c[endif]', "x[unterminated", "[a b=']']y", "plain", "[r][l]「z」", "[[[x]y"])]
-
-
-@_query(rf"SELECT id, regexp_replace(s, '(\[)\[|\[(?:[^\]\"'']|\"[^\"]*\"|''[^'']*'')*\]|(\[(?s:.*))', '\1\2', 'g') AS text FROM {_values(_KAG_TEXT, 'id, s')}".replace('\\"', '"'))
-def kag_strip(spark, sf_dir):
-    """F12."""
-    return spark.createDataFrame(_KAG_TEXT, "id int, s string").select("id", kag.strip_kag_tags(F.col("s")).alias("text"))
-
-
-_KAG = ["*start", "; c", "[iscript]", 'var 日本="x";', "[endignore]", "[endscript]", '[name text="悠斗"]', "おはよう[r]ござい\\", "ます。[[笑]", "@bg x", "「なに」", '[if exp="a]b"]本当？[endif]', "@ignore", "隠す", "@endignore", "葵「はい」"]
-_KAG_OUT = [(7, "悠斗", "おはようございます。[笑]"), (10, "悠斗", "「なに」"), (11, "悠斗", "本当？"), (15, "", "葵「はい」")]
-
-
-@_query(f"SELECT line_no, hint, line FROM {_values(_KAG_OUT, 'line_no, hint, line')}")
-def skip_block(spark, sf_dir):
-    """A KAG script."""
-    rows = spark.createDataFrame([("s", i, t) for i, t in enumerate(_KAG)], "script_id string, line_no int, line string")
-    return kag.kag_candidates(rows, ["script_id"]).select("line_no", "hint", "line")
-
-
-_NSCRIPT = ["*define", 'mesbox "日本語","a","次"', "こんにちは", ";x", "goto *a", "# b", "「うん」", "// c"]
-_NSCRIPT_OUT = [(1, 0, "日本語"), (1, 1, "次"), (2, 0, "こんにちは"), (6, 0, "「うん」")]
+@_query(f"""
+SELECT source, CASE WHEN doc_id = winner THEN '' ELSE 'overridden by ' || winner || ', skipped' END AS note, count(*) AS n, CAST(sum(CASE WHEN doc_id = winner THEN n_chars ELSE 0 END) AS BIGINT) AS line_count FROM {_FIRST} GROUP BY ALL
+""")
+def report_rows(spark, sf_dir):
+    """A report of kept and overridden scripts, where equal texts are versions of one script and the first wins."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", F.md5("text").alias("inner"), F.lit("").alias("container"), F.col("n_chars").alias("line_count"), F.lit("").alias("note"))
+    found = versions.resolve_overrides(docs, [F.col("doc_id")], label="doc_id")
+    columns = ["source", "line_count", "note"]
+    rows = lines.with_overridden(found.filter("kept").select(*columns), found.filter("not kept").select(*columns, F.col("winner").cast("string").alias("winner")))
+    return rows.groupBy("source", "note").agg(F.count("*").alias("n"), F.sum("line_count").alias("line_count"))
 
 
-@_query(f"SELECT line_no, part_no, line FROM {_values(_NSCRIPT_OUT, 'line_no, part_no, line')}")
-def nscript_lines(spark, sf_dir):
-    """E6."""
-    rows = spark.createDataFrame([("s", i, t) for i, t in enumerate(_NSCRIPT)], "script_id string, line_no int, line string")
-    return nscript.nscript_candidates(rows, ["script_id"]).select("line_no", "part_no", "line")
+for _more in (text_queries, file_queries):
+    QUERIES |= _more.QUERIES
+    ORACLES |= _more.ORACLES

@@ -95,7 +95,7 @@ def _indexing(max_file_bytes: int):
                 engine = loose.engine_of(rel, length, max_file_bytes)
                 if engine:
                     # Hidden scripts and compiled ones are no text yet; their gate is at extraction.
-                    if engine in ("nscripter", "bgi") or looks_like_text(head + f.read(loose.GATE_BYTES - len(head))):
+                    if engine in ("nscripter", "bgi") or looks_like_text(head + f.read(loose.GATE_BYTES + 1 - len(head))):
                         yield {"kind": "script", "engine": engine, "virtual_path": rel, "container": "", "size": length, "path": path}
         except OSError:
             # A file that cannot be opened speaks for no engine and holds no script.
