@@ -168,10 +168,13 @@ def linked(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(one) + len(two) - both)
 
 
-def verified_links(nodes: list[int], roots: list[int], sets: list[np.ndarray], bands: np.ndarray, sketches: np.ndarray, percent: int, limit: int) -> list[tuple[int, int]]:
-    """Links that join the components of some nodes, verified on their full sets."""
+def verified_links(roots: list[int], sets: list[np.ndarray], bands: np.ndarray, sketches: np.ndarray, percent: int, limit: int) -> list[tuple[int, int]]:
+    """Links that join the components of some nodes, verified on their full sets.
+
+    What hangs together by them is given as a star: each root that was met with the least one.
+    """
     size = np.array([len(s) for s in sets])
-    near = np.zeros((len(nodes), len(nodes)), dtype=bool)
+    near = np.zeros((len(roots), len(roots)), dtype=bool)
     for k in range(bands.shape[1]):
         near |= bands[:, k, None] == bands[None, :, k]
     near &= 100 * np.minimum(size[:, None], size) >= percent * np.maximum(size[:, None], size)
@@ -188,13 +191,11 @@ def verified_links(nodes: list[int], roots: list[int], sets: list[np.ndarray], b
             x = of[x]
         return x
 
-    found = []
     for i, j in zip(one[order].tolist(), two[order].tolist(), strict=True):
         a, b = root(roots[i]), root(roots[j])
         if a != b and linked(sets[i], sets[j], percent):
             of[max(a, b)] = min(a, b)
-            found.append((nodes[i], nodes[j]))
-    return found
+    return [(root(r), r) for r in of if root(r) != r]
 
 
 def _verify(percent: int):
@@ -205,12 +206,11 @@ def _verify(percent: int):
         order = np.argsort(grp, kind="stable")
         cuts = np.flatnonzero(np.diff(grp[order])) + 1
         found: list[tuple[int, int]] = []
-        node, root = table.column("node").to_numpy(), table.column("root").to_numpy()
+        root = table.column("root").to_numpy()
         shingles, bands, sketch = (table.column(c).combine_chunks() for c in ("shingles", "bands", "sketch"))
         for rows in np.split(order, cuts):
             if len(rows) > 1:
                 found += verified_links(
-                    node[rows].tolist(),
                     root[rows].tolist(),
                     [np.frombuffer(shingles[int(i)].as_py(), np.uint64) for i in rows],
                     np.stack([np.frombuffer(bands[int(i)].as_py(), np.int64) for i in rows]),
@@ -223,7 +223,7 @@ def _verify(percent: int):
     return run
 
 
-_TASK = ["task", "grp", "node", "root", "shingles", "bands", "sketch"]
+_TASK = ["task", "grp", "root", "shingles", "bands", "sketch"]
 
 
 def _links(tasks: DataFrame, percent: int) -> DataFrame:
@@ -278,13 +278,20 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, id_
     linked_to = staged(components(first), "components")
 
     again = _second_round(placed, members, full, linked_to, percent)
-    links = first if again is None else first.unionByName(again)
+    # Links between components of the first round, by their roots.
+    more = again
     if apart:
         ids = signed.join(several.filter("apart").select("doc_id"), "doc_id").join(same.select("n", "d1", "d2", "node"), ["n", "d1", "d2"]).select("doc_id", "node").distinct()
         low = ids.groupBy("doc_id").agg(F.min("node").alias("a"))
-        links = links.unionByName(ids.join(low, "doc_id").select("a", F.col("node").alias("b")))
-    if again is not None or apart:
-        linked_to = staged(components(links), "components")
+        tied = ids.join(low, "doc_id").select("a", F.col("node").alias("b"))
+        for end in ("a", "b"):
+            tied = tied.join(linked_to.select(F.col("node").alias(end), "component"), end, "left").withColumn(end, F.coalesce("component", end)).drop("component")
+        more = tied if more is None else more.unionByName(tied)
+    if more is not None:
+        onto = staged(components(more).select(F.col("node").alias("component"), F.col("component").alias("onto")), "onto")
+        alone = onto.join(linked_to.select("component").distinct(), "component", "left_anti").select(F.col("component").alias("node"), F.col("onto").alias("component"))
+        moved = linked_to.join(onto, "component", "left").select("node", F.coalesce("onto", "component").alias("component"))
+        linked_to = staged(moved.unionByName(alone), "components")
     discard(full, members)
     rooted = staged(same.select("n", "d1", "d2", "doc_id", "node").join(linked_to, "node", "left").withColumn("component", F.coalesce("component", "node")), "rooted")
     least = staged(rooted.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("size")), "least")
