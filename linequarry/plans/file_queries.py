@@ -447,3 +447,89 @@ def sink_json(spark, sf_dir):
 def engine_list(spark, sf_dir):
     """Engines by module; one that cannot be loaded is listed with its error."""
     return registry.engines(spark).select("key", "available", F.split("error", ":")[0].alias("error"))
+
+
+def _font(characters: str):
+    from ..pdf.fonts import Font
+
+    return Font(fx.font_file(characters))
+
+
+@query(f"SELECT conv_id, turn, CAST(unnest(range((length(body) + 19) // 20)) AS INTEGER) AS place, substr(body, 20 * unnest(range((length(body) + 19) // 20)) + 1, 20) AS line FROM {fx.SQL_TURNS}")
+def wrapped_lines(spark, sf_dir):
+    """turns broken to lines of twenty letters' room."""
+    font = _font(fx.LETTERS)
+
+    @F.pandas_udf("array<string>")
+    def broken(body):
+        from ..pdf.layout import wrap
+
+        return body.map(lambda t: wrap(t, font, 10, 205))
+
+    return fx.turns(spark, sf_dir).select("conv_id", "turn", F.posexplode(broken("body")).alias("place", "line"))
+
+
+@query(f"SELECT conv_id, turn, CAST(len(list_filter(string_split(body, ''), lambda c: c <> '' AND contains('{fx.LETTERS[:15]}', c))) AS DOUBLE) / greatest(1, length(body)) AS covered, length(body) > 0 AND len(list_filter(string_split(body, ''), lambda c: c <> '' AND contains('{fx.LETTERS[:15]}', c))) >= 0.98 * length(body) AS enough FROM {fx.SQL_TURNS}")
+def font_coverage(spark, sf_dir):
+    """Share of the letters of each turn that a font with fifteen letters can show."""
+    from ..pdf.fonts import LEAST_COVERAGE
+
+    font = _font(fx.LETTERS[:15])
+
+    @F.pandas_udf("double")
+    def share(body):
+        return body.map(font.coverage)
+
+    return fx.turns(spark, sf_dir).select("conv_id", "turn", share("body").alias("covered")).withColumn("enough", F.col("covered") >= LEAST_COVERAGE)
+
+
+@query(f"WITH used AS (SELECT DISTINCT unnest(string_split(body, '')) AS ch FROM {fx.SQL_TURNS}) SELECT ch, true AS drawn, 1000 AS width FROM used WHERE ch <> '' UNION ALL SELECT ch, false, 1000 FROM (SELECT unnest(string_split('ぽぴぷぺ', '')) AS ch)")
+def font_subset(spark, sf_dir):
+    """A subset with the letters of all turns draws those (and what they are composed of) and no other letter."""
+    from ..operators import lines as ops
+    from ..pdf.fonts import Font
+
+    whole = fx.LETTERS + "ぽぴぷぺ"
+    font = _font(whole)
+    used = [r["ch"] for r in ops.charset(fx.turns(spark, sf_dir), "body").select("ch").collect()]
+    glyphs = {font.glyph_of[ord(c)] for c in used}
+    tables = Font.__new__(Font)
+    tables.__dict__ |= font.__dict__
+    tables.data = font.subset(glyphs)
+    import struct
+
+    n = struct.unpack_from(">H", tables.data, 4)[0]
+    tables.tables = {tag: (at, size) for tag, _, at, size in (struct.unpack_from(">4sIII", tables.data, 12 + 16 * i) for i in range(n))}
+    places = tables._places()
+    rows = [(c, bool(places[g + 1] > places[g]), int(font.widths[g])) for c in sorted({*used, *"ぽぴぷぺ"}) for g in [font.glyph_of[ord(c)]]]
+    return spark.createDataFrame(rows, "ch string, drawn boolean, width int")
+
+
+@query(f"""
+SELECT row_number() OVER (ORDER BY conv_id) AS scene, 'c' || conv_id || '.ks' AS label, string_agg(body, '' ORDER BY turn) AS text, count(*) FILTER (body <> '') AS lines, (SELECT count(*) FROM conversations) AS total
+FROM {fx.SQL_TURNS} GROUP BY conv_id
+""")
+def pdf_text(spark, sf_dir):
+    """A typeset PDF of all turns, read back page by page."""
+    from ..operators import lines as ops
+    from ..storage import scratch
+
+    base = scratch(spark, "pdf").removeprefix("file://")
+    fx.put(f"{base}/boxes.ttf", fx.font_file(fx.LETTERS + "場景景台词条場场（）：｜— ./·" + "0123456789" + "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ-:"))
+    rows = ops.dense_index(fx.turns(spark, sf_dir), ["conv_id"], ["turn"]).select("index", F.when(F.col("turn") % 2 == 0, "user").otherwise("").alias("speaker"), F.col("body").alias("text"), F.concat(F.lit("x/c"), F.col("conv_id").cast("string"), F.lit(".ks")).alias("source"))
+    made = sinks.export_pdf(f"{base}/out.pdf", rows, sinks.PdfOptions(title="title", font_path=f"{base}/boxes.ttf"))
+    with archives.opened(str(made.path)) as f:
+        pages = fx.pdf_text(f.read())
+    assert len(pages) == made.pages and all(p[-1][1] == f"— {k} / {made.pages} —" for k, p in enumerate(pages, 1))
+    scenes: list[list] = []
+    for page in pages:
+        for size, text in page:
+            if size == 13.5:
+                scenes.append([text.split(" · ")[1], []])
+            elif size == 10.5:
+                scenes[-1][1].append(text)
+    assert made.scenes == len(scenes)
+    joined = [(k, label, "".join(parts)) for k, (label, parts) in enumerate(scenes, 1)]
+    out = spark.createDataFrame(joined, "scene long, label string, text string")
+    counts = rows.filter("text != ''").groupBy(F.concat(F.regexp_replace("source", "x/", "")).alias("label")).agg(F.count("*").alias("lines"))
+    return out.join(counts, "label", "left").select("scene", "label", "text", F.coalesce("lines", F.lit(0).cast("long")).alias("lines"), F.lit(made.lines).cast("long").alias("total"))

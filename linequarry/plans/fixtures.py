@@ -8,6 +8,7 @@ the library itself only reads them.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -17,6 +18,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..pdf.fonts import font_of
 from ..sources import dsc
 from ..sources.containers import XP3_MAGIC
 from ..storage import scratch, ship
@@ -213,3 +215,53 @@ def dsc_packed(data: bytes, key: int = 0x1234ABCD) -> bytes:
         count += 1
     hidden = bytes((n + k) & 0xFF for n, k in zip(lengths, dsc.key_stream(key, dsc.SYMBOLS), strict=True))
     return dsc.MAGIC + struct.pack("<IIII", key, len(data), count, 0) + hidden + _bits(iter(items))
+
+
+# Fonts and PDF
+
+
+def font_file(characters: str) -> bytes:
+    """A TrueType font: a box for each character (full width beyond ASCII), every fifth one composed of the first two."""
+    chars = sorted(set(characters))
+    box = lambda w: struct.pack(">5h", 1, 50, 0, w - 50, 700) + struct.pack(">HH", 3, 0) + bytes([1, 1, 1, 1]) + struct.pack(">4h", 50, w - 100, 0, 100 - w) + struct.pack(">4h", 0, 0, 700, 0)
+    widths, shapes = [600], [box(600)]
+    for k, c in enumerate(chars):
+        w = 500 if c.isascii() else 1000
+        widths.append(w)
+        shapes.append(struct.pack(">5h", -1, 50, 0, w - 50, 700) + struct.pack(">HHbb", 0x22, 1, 0, 0) + struct.pack(">HHbb", 0x02, 2, 10, 0) if k % 5 == 4 else box(w))
+    shapes = [s + bytes(-len(s) % 4) for s in shapes]
+    places = [0]
+    for s in shapes:
+        places.append(places[-1] + len(s))
+    n = len(shapes)
+    groups = b"".join(struct.pack(">III", ord(c), ord(c), g + 1) for g, c in enumerate(chars))
+    cmap = struct.pack(">HHHHI", 0, 1, 3, 10, 12) + struct.pack(">HHIII", 12, 0, 16 + len(groups), 0, len(chars)) + groups
+    family = "Boxes".encode("utf-16-be")
+    tables = {
+        b"head": struct.pack(">IIIIHH16x4hHHhhh", 0x10000, 0, 0, 0x5F0F3CF5, 0, 1000, 0, 0, 1000, 700, 0, 8, 2, 1, 0),
+        b"hhea": struct.pack(">IhhhH3h3h8xhH", 0x10000, 800, -200, 0, 1000, 0, 0, 1000, 1, 0, 0, 0, n),
+        b"maxp": struct.pack(">IH", 0x10000, n) + bytes(26),
+        b"hmtx": b"".join(struct.pack(">Hh", w, 0) for w in widths),
+        b"cmap": cmap,
+        b"glyf": b"".join(shapes),
+        b"loca": struct.pack(f">{n + 1}I", *places),
+        b"name": struct.pack(">HHH6H", 0, 1, 18, 3, 1, 0x409, 1, len(family), 0) + family,
+    }
+    return font_of(tables)
+
+
+def pdf_text(data: bytes) -> list[list[tuple[float, str]]]:
+    """The texts of each page with their sizes, found through page tree, contents and character map."""
+    objects = {int(m[1]): m[2] for m in re.finditer(rb"(?s)(?<=\n)(\d+) 0 obj\n(.*?)\nendobj\n", data)}
+    stream = lambda o: zlib.decompress(o.split(b"stream\n", 1)[1].rsplit(b"\nendstream", 1)[0])
+    refs = lambda b: [int(x) for x in re.findall(rb"(\d+) 0 R", b)]
+    maps = next(o for o in objects.values() if b"/ToUnicode" in o)
+    cmap = stream(objects[refs(re.search(rb"/ToUnicode (\d+ 0 R)", maps)[1])[0]]).decode()
+    char = {g: bytes.fromhex(u).decode("utf-16-be") for g, u in re.findall(r"<([0-9A-F]{4})> <([0-9A-F]+)>\n", cmap)}
+    tree = next(o for o in objects.values() if b"/Type /Pages" in o)
+    pages = []
+    for k in refs(re.search(rb"/Kids \[(.*?)\]", tree)[1]):
+        drawn = b"".join(stream(objects[c]) for c in refs(re.search(rb"/Contents \[(.*?)\]", objects[k])[1]))
+        found = re.findall(rb"/F1 ([\d.]+) Tf [\d.]+ [\d.]+ Td <([0-9A-F]*)> Tj", drawn)
+        pages.append([(float(size), "".join(char[g] for g in re.findall("....", glyphs.decode()))) for size, glyphs in found])
+    return pages

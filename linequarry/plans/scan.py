@@ -72,7 +72,9 @@ def _strings(data: Column, generic: Column) -> Column:
 
 def _routed(scripts: DataFrame) -> DataFrame:
     """With by (whose extractor), ext, and blob (searched for strings, not decoded)."""
-    by = versions.extractor(F.col("engine"), F.col("virtual_path"))
+    # Scripts of engines from outside are text; their extension says whose extractor reads them.
+    engine = F.when(F.col("engine").isin(*registry.BUILT_IN), F.col("engine")).otherwise("plaintext")
+    by = versions.extractor(engine, F.col("virtual_path"))
     return scripts.withColumn("by", by).withColumn("ext", clean.extension(F.col("virtual_path"))).withColumn("blob", (F.col("by") == "bgi") | (F.col("engine") == "generic"))
 
 

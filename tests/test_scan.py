@@ -122,6 +122,52 @@ def test_generic_fallback(spark, tmp_path):
     (tmp_path / "empty").mkdir()
 
 
+def test_large_loose_script_and_limits(spark, tmp_path):
+    root = tmp_path / "big"
+    root.mkdir()
+    (root / "a.txt").write_text("これは大きな台本です。\n" * 600_000, encoding="utf-8")
+    (root / "b.txt").write_text("次の台本です。\n", encoding="utf-8")
+    assert (root / "a.txt").stat().st_size > 18 << 20
+    whole = scan(spark, str(root))
+    assert sorted(r["text"] for r in whole.lines.collect()) == ["これは大きな台本です。", "次の台本です。"] and whole.warnings == []
+    less = scan(spark, str(root), ScanOptions(max_total_bytes=1 << 20))
+    assert [r["text"] for r in less.lines.collect()] == ["次の台本です。"] and "1 scripts were left out" in less.warnings[0]
+    one = scan(spark, str(root / "b.txt"))
+    assert [r["source"] for r in one.lines.collect()] == ["b.txt"]
+
+
+def test_engines_from_outside(spark, tmp_path, monkeypatch):
+    from linequarry.plans import registry
+
+    monkeypatch.setattr(registry, "MODULES", dict(registry.MODULES))
+    (tmp_path / "own_engine.py").write_text(
+        "def score(files):\n    return 99\n"
+        "def scripts(spark, root):\n    return spark.createDataFrame([('x/one.txt', 'x', bytearray('外から来た台本です。'.encode()), 30, None)], 'virtual_path string, container string, data binary, size long, error string')\n"
+    )
+    (tmp_path / "bad_engine.py").write_text("raise RuntimeError('broken')\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    registry.register("own", "Own", "own_engine")
+    registry.register("bad", "Bad", "bad_engine")
+    assert {k: (a, e) for k, _, a, e in registry.listed()}["bad"] == (False, "RuntimeError: broken")
+    (tmp_path / "g").mkdir()
+    (tmp_path / "g" / "a.ks").write_text("中の台本です。\n", encoding="utf-8")
+    out = scan(spark, str(tmp_path / "g"))
+    assert out.best_engine == "own" and sorted(r["text"] for r in out.lines.collect()) == ["中の台本です。", "外から来た台本です。"]
+
+
+def test_dsc():
+    from linequarry.plans import fixtures as fx
+    from linequarry.sources import dsc
+
+    for data in (b"", b"a", bytes(range(256)) * 9, "葵「はい」".encode("cp932") * 300):
+        packed = fx.dsc_packed(data)
+        assert dsc.unpack(packed) == data
+        if data:
+            for broken in (packed[:40], packed[: len(packed) * 3 // 4], packed[:20] + b"\xff\xff\0\0" + packed[24:]):
+                with pytest.raises(ValueError):
+                    dsc.unpack(broken)
+
+
 def test_cli(spark, game, tmp_path, capsys):
     assert cli.main(["scan", str(game), "-o", str(tmp_path / "o.csv"), "-f", "csv", "--quiet"], spark) == 0
     assert (tmp_path / "o.csv").read_bytes().startswith(b"\xef\xbb\xbf")
