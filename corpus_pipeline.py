@@ -1,7 +1,13 @@
 """Five stages from raw documents to token ids; each stage is one operator of linequarry.llm.
 
 Every function takes (spark, docs, sf_dir) and returns a DataFrame. All but the last
-return the columns of documents; rows without a doc_id are kept by every filter.
+return the columns of documents.
+
+Defined results: filters work by doc_id, so of rows that share an id all go if one of them
+is rejected; rows without an id are kept by every filter and never cut; null and empty
+texts pass every stage and end as a document without tokens; an empty table gives an empty
+result; very long texts go through whole; other columns than those of documents are
+dropped at the first stage, whatever their names.
 """
 
 from __future__ import annotations
