@@ -19,12 +19,15 @@ widened by SLACK of its distance to the median.
 Defined results: null and empty texts have score null and are kept; documents without
 language, or of a language with fewer than LEAST trusted documents, are scored by a
 model of all trusted text; with no trusted text at all everything is kept; rows that
-repeat an id are scored each; an empty table gives an empty result.
+repeat an id are scored each; an empty table gives an empty result. Texts of more than
+BLOCK_BYTES are counted and scored in parts that see the bytes before them, so nothing
+of them is lost and memory stays bounded. Other columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -61,12 +64,15 @@ class Block:
     each place. Texts have order - 1 line feeds before them.
     """
 
-    def __init__(self, texts: list[bytes], order: int):
+    def __init__(self, texts: list[bytes], order: int, heads: list[int] | None = None):
+        """`heads`: leading bytes of each text that are context only, because it is a part of a longer one."""
         gap = bytes([_PAD]) * (order - 1)
         data = np.frombuffer(gap + gap.join(texts) + gap, np.uint8)
-        self.sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        # Index into ids of each text's first byte.
-        self.begin = np.cumsum(self.sizes + order - 1) - self.sizes - (order - 1)
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        known = np.array(heads, np.int64) if heads is not None else np.zeros(len(texts), np.int64)
+        # Index into ids of each text's first byte that counts.
+        self.begin = np.cumsum(sizes + order - 1) - sizes - (order - 1) + known
+        self.sizes = sizes - known
         self.order = order
         used = np.flatnonzero(np.bincount(data, minlength=256))
         code = np.zeros(256, np.int32)
@@ -90,9 +96,8 @@ class Block:
 
     def counts(self) -> np.ndarray:
         """How often each of keys[order] ends at a byte of a text."""
-        n = len(self.keys[self.order])
-        gaps = np.concatenate([self.begin[1:, None] - np.arange(1, self.order), self.begin[-1:, None] + self.sizes[-1:, None] + np.arange(self.order - 1)]) if len(self.begin) else np.zeros((0, 1), np.int64)
-        return np.bincount(self.ids, minlength=n) - np.bincount(self.ids[gaps.ravel()], minlength=n)
+        spans = [self.ids[b : b + n] for b, n in zip(self.begin.tolist(), self.sizes.tolist(), strict=True)]
+        return np.bincount(np.concatenate([self.ids[:0], *spans]), minlength=len(self.keys[self.order]))
 
     def bits(self, alpha: list[np.ndarray], gamma: list[np.ndarray]) -> np.ndarray:
         """Bits of each text under a model; alpha and gamma are aligned with keys."""
@@ -103,25 +108,52 @@ class Block:
         return np.array([cost[self.ids[b : b + n]].sum() for b, n in zip(self.begin.tolist(), self.sizes.tolist(), strict=True)])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int, list, list[bytes]]]:
-    """(language id, document ids, texts) of about `size` bytes, gathered over batches; a long text may make one alone."""
-    held: dict[int, tuple[list, list[bytes]]] = {}
+@dataclass
+class _Held:
+    """Documents of one language that wait for a block: ids, texts, context bytes, and of which whole text they are parts."""
+
+    ids: list = field(default_factory=list)
+    texts: list[bytes] = field(default_factory=list)
+    heads: list[int] = field(default_factory=list)
+    part: tuple[int, int] | None = None
+
+    def block(self, order: int) -> Block:
+        return Block(self.texts, order, self.heads)
+
+
+def _parts(doc_id, text: bytes, size: int, order: int) -> Iterator[_Held]:
+    """A long text in parts, each after the bytes that its first grams need."""
+    key = int(np.uint64(xxhash.xxh3_64_intdigest(text, seed=hash(doc_id) & 0xFFFFFFFF)).view(np.int64))
+    n = -(-len(text) // size)
+    for k in range(n):
+        head = min(k * size, order - 1)
+        yield _Held([doc_id], [text[k * size - head : (k + 1) * size]], [head], (key, n))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], size: int, order: int) -> Iterator[tuple[int, _Held]]:
+    """Language id and documents of about `size` bytes, gathered over batches; a longer text comes in parts of its own."""
+    held: dict[int, _Held] = {}
     used: dict[int, int] = {}
     for b in batches:
         data, offsets = tk.string_buffers(b.column("text"))
         places = offsets.tolist()
         for lang, doc_id, x, y in zip(b.column("lang_id").to_pylist(), b.column("doc_id").to_pylist(), places[:-1], places[1:], strict=True):
-            ids, texts = held.setdefault(lang, ([], []))
-            ids.append(doc_id)
-            texts.append(data[x:y].tobytes())
+            if y - x > size:
+                for part in _parts(doc_id, data[x:y].tobytes(), size, order):
+                    yield lang, part
+                continue
+            mine = held.setdefault(lang, _Held())
+            mine.ids.append(doc_id)
+            mine.texts.append(data[x:y].tobytes())
+            mine.heads.append(0)
             used[lang] = used.get(lang, 0) + y - x
             # However many languages there are, what waits stays bounded.
             if used[lang] >= size or sum(used.values()) >= 2 * size:
                 most = max(used, key=lambda k: used[k])
-                yield most, *held.pop(most)
+                yield most, held.pop(most)
                 used.pop(most)
     for lang in sorted(held):
-        yield lang, *held[lang]
+        yield lang, held[lang]
 
 
 def _name(lang: int, ids: list, texts: list[bytes]) -> int:
@@ -134,8 +166,8 @@ def _name(lang: int, ids: list, texts: list[bytes]) -> int:
 def _counting(order: int, size: int, pooled: bool):
     @tk.worker_task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, _, texts in _blocks(batches, size):
-            block = Block(texts, order)
+        for lang, held in _blocks(batches, size, order):
+            block = held.block(order)
             n = block.counts()
             some = np.flatnonzero(n)
             for at in {lang, POOLED} if pooled else {lang}:
@@ -147,29 +179,31 @@ def _counting(order: int, size: int, pooled: bool):
 def _asking(order: int, size: int):
     @tk.worker_task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, ids, texts in _blocks(batches, size):
-            block = Block(texts, order)
+        for lang, held in _blocks(batches, size, order):
+            block = held.block(order)
             keys = np.concatenate([gram_key(block.keys[k], k, lang) for k in range(order + 1)])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), _name(lang, ids, texts))), pa.array(keys)], names=["block", "gram"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), _name(lang, held.ids, held.texts))), pa.array(keys)], names=["block", "gram"])
 
     return run
 
 
-def _packing(size: int):
+def _packing(size: int, order: int):
     @tk.worker_task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, ids, texts in _blocks(batches, size):
-            blob = zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
+        for lang, held in _blocks(batches, size, order):
+            blob = zstandard.ZstdCompressor(level=3).compress(b"".join(held.texts))
+            key, n = held.part or (None, None)
+            lists = [pa.array([x], pa.list_(t)) for x, t in ((held.ids, pa.int64()), (list(map(len, held.texts)), pa.int32()), (held.heads, pa.int32()))]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([_name(lang, ids, texts)]), pa.array([lang], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([list(map(len, texts))], pa.list_(pa.int32())), pa.array([blob], pa.binary())],
-                names=["block", "lang_id", "ids", "sizes", "blob"],
+                [pa.array([_name(lang, held.ids, held.texts)]), pa.array([lang], pa.int32()), *lists, pa.array([blob], pa.binary()), pa.array([key], pa.int64()), pa.array([n], pa.int32())],
+                names=["block", "lang_id", "ids", "sizes", "heads", "blob", "part_of", "n_parts"],
             )
 
     return run
 
 
 def _scoring(order: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("lang_id", pa.int32()), ("n_bytes", pa.int64()), ("bits", pa.float64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("lang_id", pa.int32()), ("n_bytes", pa.int64()), ("bits", pa.float64()), ("part_of", pa.int64()), ("n_parts", pa.int32())])
 
     def run(packed: pa.Table, answers: pa.Table) -> pa.Table:
         if not packed.num_rows:
@@ -185,7 +219,7 @@ def _scoring(order: int):
             for n in row["sizes"]:
                 texts.append(joined[at : at + n])
                 at += n
-            block = Block(texts, order)
+            block = Block(texts, order, row["heads"])
             tables: list[list[np.ndarray]] = [[], []]
             for k in range(order + 1):
                 want = gram_key(block.keys[k], k, row["lang_id"])
@@ -194,7 +228,7 @@ def _scoring(order: int):
                 # Unseen k-grams have no count; unseen contexts leave everything to the shorter one.
                 for t, v, other in zip(tables, values, (0.0, 1.0), strict=True):
                     t.append(np.where(hit, v[place], other) if len(gram) else np.full(len(want), other))
-            out.append(pa.table([pa.array(row["ids"], pa.int64()), pa.array(np.full(len(texts), row["lang_id"], np.int32)), pa.array(block.sizes), pa.array(block.bits(*tables))], schema=schema))
+            out.append(pa.table([pa.array(row["ids"], pa.int64()), pa.array(np.full(len(texts), row["lang_id"], np.int32)), pa.array(block.sizes), pa.array(block.bits(*tables)), pa.array([row["part_of"]] * len(texts), pa.int64()), pa.array([row["n_parts"]] * len(texts), pa.int32())], schema=schema))
         return pa.concat_tables(out)
 
     return run
@@ -240,6 +274,15 @@ def kneser_ney(counts: DataFrame, order: int) -> DataFrame:
     return merged.select("gram", F.coalesce("alpha", F.lit(0.0)).alias("alpha"), F.coalesce("gamma", F.lit(1.0)).alias("gamma"))
 
 
+def _whole(scored: DataFrame) -> DataFrame:
+    """One row a document: the parts of long texts summed, equal rows kept apart by their number."""
+    parts = scored.filter("part_of is not null").groupBy("doc_id", "lang_id", "part_of", "n_parts").agg(F.sum("n_bytes").alias("n_bytes"), F.sum("bits").alias("bits"), F.count("*").alias("rows"))
+    times = F.expr("cast(rows div n_parts as int)")
+    sums = parts.withColumn("times", times).withColumn("one", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    sums = sums.select("doc_id", "lang_id", F.expr("n_bytes div times").alias("n_bytes"), (F.col("bits") / F.col("times")).alias("bits"))
+    return scored.filter("part_of is null").select("doc_id", "lang_id", "n_bytes", "bits").unionByName(sums)
+
+
 def fold_of(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % FOLDS
 
@@ -271,9 +314,9 @@ def judge(documents: DataFrame, trusted: DataFrame, order: int = ORDER, id_col:
 
     asked = known.mapInArrow(_asking(order, BLOCK_BYTES), "block long, gram long")
     answers = asked.join(model, "gram").select("block", "gram", "alpha", "gamma")
-    blocks = known.mapInArrow(_packing(BLOCK_BYTES), "block long, lang_id int, ids array<long>, sizes array<int>, blob binary")
-    scored = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scoring(order), "doc_id long, lang_id int, n_bytes long, bits double")
-    scored = staged(scored, "bits")
+    blocks = known.mapInArrow(_packing(BLOCK_BYTES, order), "block long, lang_id int, ids array<long>, sizes array<int>, heads array<int>, blob binary, part_of long, n_parts int")
+    scored = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scoring(order), "doc_id long, lang_id int, n_bytes long, bits double, part_of long, n_parts int")
+    scored = _whole(staged(scored, "bits"))
 
     held = scored.join(broadcast_if_small(good, 16, ID_BROADCAST), "doc_id", "left_semi").filter((fold_of(F.col("doc_id")) == HELD_OUT) & (F.col("n_bytes") > 0))
     mean = held.groupBy("lang_id").agg((F.sum("bits") / F.sum("n_bytes")).alias("mean"))

@@ -261,12 +261,15 @@ def brute_bits(texts, scored, order=4):
     return out
 
 
-def test_quality_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(quality, "BLOCK_BYTES", 600)
+@pytest.mark.parametrize("block_bytes", [600, 50])
+def test_quality_equals_brute_force(spark, monkeypatch, block_bytes):
+    monkeypatch.setattr(quality, "BLOCK_BYTES", block_bytes)
     rnd = random.Random(9)
-    rows = [(i, " ".join(rnd.choice(["ab", "abc", "bca", "cé", "d"]) for _ in range(rnd.randint(1, 40))), "en") for i in range(60)] + [(100, "zz top\n" * 300, "en"), (101, "a", None)]
+    rows = [(i, " ".join(rnd.choice(["ab", "abc", "bca", "cé", "d"]) for _ in range(rnd.randint(1, 40))), "en") for i in range(60)] + [(100, "zz top\n" * 300, "en"), (100, "zz top\n" * 300, "en"), (101, "a", None)]
     good = [i for i in range(40)]
-    got = {r["doc_id"]: r for r in quality.judge(table(spark, rows), spark.createDataFrame([(i,) for i in good], "doc_id long")).collect()}
+    found = quality.judge(table(spark, rows), spark.createDataFrame([(i,) for i in good], "doc_id long")).collect()
+    got = {r["doc_id"]: r for r in found}
+    assert sorted(r["doc_id"] for r in found) == sorted(r[0] for r in rows)
     taught = [t.encode() for i, t, _ in rows if i in good and zlib.crc32(str(i).encode()) % 5]
     english = [(i, t.encode()) for i, t, lang in rows]
     for (i, t), bits in zip(english, brute_bits(taught, [t for _, t in english]), strict=True):
