@@ -50,3 +50,17 @@ def test_quality_keeps_clean_documents(spark):
     bad = [i for i, q in labels.items() if q == 0]
     assert sum(i in kept for i in good) >= 0.97 * len(good)
     assert sum(i in kept for i in bad) <= 0.4 * len(bad)
+
+
+def test_held_out_documents(spark):
+    """Predictions of the registered queries on rows that they did not learn from."""
+    folder = "/root/testdata/sf0.01"
+    langs = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang").collect()}
+    got = [r for r in queries.op6_language_id(spark, folder).collect() if r["held_out"] and langs[r["doc_id"]]]
+    assert len(got) > 150 and sum(r["lang_pred"] == langs[r["doc_id"]] for r in got) >= 0.98 * len(got)
+    toxic = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    got = [r for r in queries.op10_toxicity(spark, folder).collect() if r["held_out"] and r["doc_id"] in toxic]
+    found = sum(r["predicted"] for r in got if toxic[r["doc_id"]] == 1)
+    # A few dozen toxic documents are all that there is to learn from here.
+    assert found >= 0.5 * sum(toxic[r["doc_id"]] == 1 for r in got) > 0
+    assert sum(r["predicted"] for r in got if toxic[r["doc_id"]] == 0) <= 0.03 * len(got)
