@@ -73,7 +73,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     try:
         spark = spark or SparkSession.builder.appName("linequarry").getOrCreate()
         options = options_of(a)
-        result = scan(spark, a.root, options)
+        told = (lambda share, what: print(f"{share:4.0%} {what}", file=sys.stderr)) if a.verbose else None
+        result = scan(spark, a.root, options, progress=told)
         if result.lines.isEmpty():
             print("no text found", file=sys.stderr)
             return 2
