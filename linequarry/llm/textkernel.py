@@ -99,7 +99,7 @@ def _cut(data: np.ndarray, begin: int, end: int, limit: int) -> int:
     if len(tail):
         return max(begin, at - 4096) + int(tail[-1]) + 1
     while at < end:
-        head = np.flatnonzero(_SPACE[data[at : at + limit]])
+        head = np.flatnonzero(_SPACE[data[at : min(at + limit, end)]])
         if len(head):
             return at + int(head[0]) + 1
         at += limit

@@ -134,7 +134,7 @@ def test_long_texts_are_taken_in_spans(monkeypatch, limit):
     monkeypatch.setattr(tk.spans, "__defaults__", (limit,))
     monkeypatch.setattr(tk.row_chunks, "__defaults__", (limit,))
     rnd = random.Random(1)
-    texts = [" ".join(rnd.choice("abcdefg") * rnd.randint(1, 9) for _ in range(n)) for n in (0, 3, 40, 400)] + ["x" * 500 + " y " + "z" * 90, " \t" * 100 + "a b c d e"]
+    texts = [" ".join(rnd.choice("abcdefg") * rnd.randint(1, 9) for _ in range(n)) for n in (0, 3, 40, 400)] + ["x" * 500 + " y " + "z" * 90, " of the next text", "q" * 150, " \t" * 100 + "a b c d e"]
     column = pa.array(texts)
     sets = [s for _, part in near_duplicates.shingle_sets(column, 4) for s in part]
     assert [len(s) for s in sets] == [len(shingles(t, 4)) for t in texts]
