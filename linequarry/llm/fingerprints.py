@@ -18,10 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .runtime import broadcast_if_small, id_splits, range_of, shuffle_parts, spread, staged
+from .runtime import broadcast_if_small, id_splits, join_counted, range_of, shuffle_parts, spread, staged
 
 #: White space as Unicode lists it (fixed values), written as a Java character class.
 _BLANK = r"[\u0009-\u000D\u001C-\u0020\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
+ID_BROADCAST = 64 << 20
 _NFKC = "com.ibm.icu.text.Normalizer"
 _FOLD = "com.ibm.icu.lang.UCharacter"
 
@@ -45,37 +46,47 @@ def digest(canonical_text: Column) -> Column:
     return F.lower(F.concat(F.lpad(F.hex(one), 16, "0"), F.lpad(F.hex(two), 16, "0")))
 
 
-def classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", prints: DataFrame | None = None) -> DataFrame:
     """One row per document: id, fingerprint, class_id (smallest id whose canonical text has the same bytes).
 
+    `prints` is a staged table with doc_id and fingerprint of these documents, if there is
+    one already; its other columns are passed on.
+
     Digests travel first. Texts travel only for digests that more than one row has,
     and equal texts are merged before they are shuffled, so a text that a third of
-    all rows carry costs one row per task.
+    all rows carry costs one row per task. Such a digest is no key of a shuffle either.
     """
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    prints = staged(docs.select("doc_id", digest(canonical(F.col("text"))).alias("fingerprint")), "digests")
-    shared = prints.groupBy("fingerprint").agg(F.count("*").alias("n"), F.min("doc_id").alias("class_id"))
-    several = staged(shared.filter("n > 1").select("fingerprint"), "shared-digests")
-    texts = docs.select("doc_id", canonical(F.col("text")).alias("canon"))
-    texts = texts.withColumn("fingerprint", digest(F.col("canon"))).join(broadcast_if_small(several, 64), "fingerprint", "left_semi")
+    if prints is None:
+        prints = staged(docs.select("doc_id", digest(canonical(F.col("text"))).alias("fingerprint")), "digests")
+    parts = shuffle_parts(documents.sparkSession)
+    shared = staged(prints.groupBy("fingerprint").agg(F.count("*").alias("n"), F.min("doc_id").alias("class_id")), "digest-classes")
+    several = staged(shared.filter("n > 1").select("fingerprint", "n"), "shared-digests")
+    ids = staged(join_counted(prints.select("doc_id", "fingerprint"), several, ["fingerprint"], "n", parts).select("doc_id").distinct(), "shared-ids")
+    # A null id meets no other in a join, so rows without one are all looked at.
+    some = docs.join(broadcast_if_small(ids, 16, ID_BROADCAST), "doc_id", "left_semi").unionByName(docs.filter("doc_id is null"))
+    texts = some.select("doc_id", canonical(F.col("text")).alias("canon")).withColumn("fingerprint", digest(F.col("canon")))
     merged = texts.groupBy("fingerprint", "canon").agg(F.min("doc_id").alias("least"))
     apart = merged.groupBy("fingerprint").agg(F.count("*").alias("texts")).filter("texts > 1").select("fingerprint")
     apart = staged(apart, "split-digests")
-    out = prints.join(shared.select("fingerprint", "class_id"), "fingerprint")
+    out = join_counted(prints, shared, ["fingerprint"], "n", parts).select(*prints.columns, "class_id")
     if apart.isEmpty():
-        return out.select("doc_id", "fingerprint", "class_id")
-    split = texts.join(apart, "fingerprint", "left_semi").join(merged, ["fingerprint", "canon"]).select("doc_id", "fingerprint", F.col("least").alias("class_id"))
-    return out.join(apart, "fingerprint", "left_anti").select("doc_id", "fingerprint", "class_id").unionByName(split)
+        return out
+    split = texts.join(apart, "fingerprint", "left_semi").join(merged, ["fingerprint", "canon"]).groupBy("doc_id", "fingerprint").agg(F.min("least").alias("class_id"))
+    same = prints["doc_id"].eqNullSafe(split["doc_id"]) & (prints["fingerprint"] == split["fingerprint"])
+    return out.join(apart, "fingerprint", "left_anti").select(*out.columns).unionByName(prints.join(split, same).select(*[prints[c] for c in prints.columns], split["class_id"]))
 
 
 def with_next(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text, next: the text of the document that follows in descending id, after the last the first.
+    """doc_id, text, fingerprint, and next, next_print of the document that follows in descending id, after the last the first.
 
     A distributed lead: rows are dealt to id ranges, each range also gets a copy of
     the row that follows its last one, and the window runs per range.
     """
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ids = docs.select("doc_id")
+    # Where the text is read, once for each row.
+    docs = docs.withColumn("fingerprint", digest(canonical(F.col("text"))))
     spark = documents.sparkSession
     splits = id_splits(ids, "doc_id", shuffle_parts(spark))
     part = range_of(F.col("doc_id"), splits)
@@ -93,10 +104,11 @@ def with_next(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         places = F.when(also.isNull(), F.array(own)).otherwise(F.array(own, F.struct(also.cast("int").alias("part"), F.lit(1).alias("copy"))))
     else:
         places = F.array(own)
-    dealt = docs.withColumn("at", F.explode(places)).select("doc_id", "text", "at.part", "at.copy")
+    dealt = docs.withColumn("at", F.explode(places)).select("doc_id", "text", "fingerprint", "at.part", "at.copy")
     dealt = dealt.withColumn("part", spread(spark, F.col("part"), shuffle_parts(spark)))
     follow = W.partitionBy("part").orderBy("copy", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), "text")
-    return dealt.withColumn("next", F.lead("text").over(follow)).filter("copy = 0").select("doc_id", "text", "next")
+    found = dealt.withColumn("next", F.lead("text").over(follow)).withColumn("next_print", F.lead("fingerprint").over(follow))
+    return found.filter("copy = 0").select("doc_id", "text", "fingerprint", "next", "next_print")
 
 
 def edited_pairs(documents: DataFrame) -> DataFrame:
@@ -109,21 +121,18 @@ def edited_pairs(documents: DataFrame) -> DataFrame:
     cut = F.floor(F.col("n_chars") / 3).cast("int")
     base = with_next(documents).withColumn("n_chars", F.char_length("text").cast("long"))
     base = base.withColumn("edited", F.concat(F.expr("substring(text, 1, cast(n_chars - floor(n_chars / 3) as int))"), F.when(cut > 0, F.substring(F.col("next"), F.lit(1), cut)).otherwise("")))
-    forms = base.select(
-        "doc_id",
-        "n_chars",
-        F.sha2("edited", 256).alias("edited_sha256"),
-        canonical(F.col("text")).alias("c0"),
-        canonical(F.col("edited")).alias("c1"),
-        canonical(F.col("next")).alias("c2"),
-    )
-    alike = lambda a, b: ((digest(a) == digest(b)) & (a == b)).cast("double")
+    forms = base.withColumn("c1", canonical(F.col("edited"))).withColumn("edited_fingerprint", digest(F.col("c1")))
+
+    def alike(other_print: str, other_text: Column) -> Column:
+        # Bytes are compared only where the digests are equal.
+        return F.when(F.col("fingerprint") == F.col(other_print), (canonical(F.col("text")) == other_text).cast("double")).otherwise(0.0)
+
     return forms.select(
         "doc_id",
         "n_chars",
-        "edited_sha256",
-        digest(F.col("c0")).alias("fingerprint"),
-        digest(F.col("c1")).alias("edited_fingerprint"),
-        alike(F.col("c0"), F.col("c1")).alias("near_edited"),
-        alike(F.col("c0"), F.col("c2")).alias("near_next"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        "fingerprint",
+        "edited_fingerprint",
+        alike("edited_fingerprint", F.col("c1")).alias("near_edited"),
+        alike("next_print", canonical(F.col("next"))).alias("near_next"),
     )

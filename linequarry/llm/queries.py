@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import byte_bpe, decontamination, fingerprints, language_id, near_duplicates, quality, repeated_passages, token_files, toxicity, url_rules
+from .runtime import staged
 
 #: Rules of op3 (fixed values): host, path, verdict.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -25,10 +26,7 @@ def _remainder(of: int):
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    groups = fingerprints.classes(docs).groupBy("doc_id", "fingerprint").agg(F.min("class_id").alias("class_id"))
-    prints = fingerprints.edited_pairs(docs)
-    same = prints["doc_id"].eqNullSafe(groups["doc_id"]) & (prints["fingerprint"] == groups["fingerprint"])
-    return prints.join(groups, same, "left").select(*[prints[c] for c in prints.columns], groups["class_id"])
+    return fingerprints.classes(docs, prints=staged(fingerprints.edited_pairs(docs), "forms"))
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
