@@ -8,11 +8,11 @@ a text before it cuts it; a word that holds one is given to it whole and as it i
 
 File format. Documents are dealt to ranges of rising ids; each range becomes one Arrow
 IPC file of record batches with two fixed-size-list columns, `ids` (the narrowest
-unsigned type that holds the vocabulary) and `mask` (one byte a place: 1 for real tokens,
-0 for padding), of SEQUENCE entries each; only the last sequence of a file is padded.
-Batches are not compressed, so a reader maps a file and reaches the ids and the mask of
-any sequence without a copy. Beside it lies an index file with doc_id, start (place in the
-file's own stream) and n_tokens.
+unsigned type that holds the vocabulary) and `mask` (true for real tokens; Arrow's one bit
+a place), of SEQUENCE entries each; only the last sequence of a file is padded. Batches
+are not compressed, so a reader maps a file and reaches the ids and the mask of any
+sequence as views of it, without a copy. Beside it lies an index file with doc_id, start
+(place in the file's own stream) and n_tokens.
 
 Files get a name of their own in every attempt, and only the files that a finished task
 reports are read; an executor may be lost at any time.
@@ -206,7 +206,7 @@ class SequenceWriter:
         self.path = f"{base}/{self.name}"
         self.length, self.type = length, type_
         kind = pa.from_numpy_dtype(type_)
-        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.uint8(), length))], {"length": str(length), "batch": str(BATCH), "end_id": str(end_id)})
+        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))], {"length": str(length), "batch": str(BATCH), "end_id": str(end_id)})
         self.out = self.store.open_output_stream(f"{self.path}.arrow")
         self.writer = pa.ipc.new_file(self.out, self.schema)
         self.held: list[np.ndarray] = []
@@ -221,8 +221,8 @@ class SequenceWriter:
         for r in range(0, rows, BATCH):
             part = ids[r * self.length : min(used, (r + BATCH) * self.length)]
             n = -(-len(part) // self.length) * self.length
-            values, mask = np.zeros(n, self.type), np.zeros(n, np.uint8)
-            values[: len(part)], mask[: len(part)] = part, 1
+            values, mask = np.zeros(n, self.type), np.zeros(n, bool)
+            values[: len(part)], mask[: len(part)] = part, True
             self.writer.write_batch(pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(values), self.length), pa.FixedSizeListArray.from_arrays(pa.array(mask), self.length)], schema=self.schema))
         self.held, self.n_held = [ids[used:]], len(ids) - used
 
@@ -315,11 +315,11 @@ class SequenceReader:
         self.sequences, self.docs = (pa.ipc.open_file(x) for x in opened)
         self.length, self.batch = (int(self.sequences.schema.metadata[k]) for k in (b"length", b"batch"))
 
-    def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of one sequence; both are views of the file."""
+    def sequence(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """Ids and mask of one sequence; both are views of the file (a numpy mask of bytes would be a copy)."""
         batch = self.sequences.get_batch(i // self.batch)
         ids, mask = batch.column(0)[i % self.batch].values, batch.column(1)[i % self.batch].values
-        return ids.to_numpy(), mask.to_numpy()
+        return ids.to_numpy(), mask
 
     def parts(self, start: int, count: int) -> Iterator[np.ndarray]:
         """Tokens start..start+count of the file's stream, as views of one batch after the other."""
