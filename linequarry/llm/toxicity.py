@@ -10,8 +10,9 @@ label reaches the sentences through the noisy-or, so the model learns which sent
 Training takes a bounded sample of labelled documents: at most PER_LABEL of each label,
 by least text hash, of at most LONGEST characters, weighted to the labels' true shares.
 A word counts if LEAST sampled documents have it and toxic ones have it so much more
-often that its G statistic passes SURE. A fifth of the sample calibrates the document
-scores (Platt scaling).
+often that its G statistic passes SURE. Document scores are calibrated (Platt scaling) on
+folds of the sample that a model of the other folds has not seen: as many folds as show
+CALIBRATE toxic texts, at most all; the words themselves are learned from the whole sample.
 
 Only the text is an input of a score. Defined results: null and empty texts have no
 sentences and get the score of an empty document; if there is nothing to learn from, or
@@ -37,6 +38,8 @@ from .runtime import broadcast_if_small, ship, staged
 #: Bytes of the beginnings of words that are features beside the whole words.
 PREFIXES = (5, 6, 7)
 PER_LABEL, LONGEST, LEAST, SURE = 6000, 50_000, 3, 8.0
+#: Calibration: folds, and toxic texts that are enough for it.
+FOLDS, CALIBRATE = 5, 200
 EPOCHS, RATE, DECAY, START = 8, 0.5, 1e-4, -6.0
 ID_BROADCAST = 64 << 20
 
@@ -171,69 +174,90 @@ def _telling(words: list[np.ndarray], labels: list[int]) -> np.ndarray:
     return names[(g > SURE) & (a / n1 > b / n0)]
 
 
-def train(texts: list[str], labels: list[int], weights: list[float], seed: int = 11) -> Model:
-    """Fit word weights and calibration; every fifth text calibrates."""
-    rng = np.random.default_rng(seed)
-    bags = []
-    for t in texts:
-        raw = np.frombuffer(t.encode(), np.uint8)
-        bags.append(Sentences(raw, np.array([0, len(raw)]), 0, 1))
-    taught = [i for i in range(len(texts)) if i % 5 != 4]
-    vocabulary = _telling([bags[i].words for i in taught], [labels[i] for i in taught])
-    model = Model(vocabulary, np.zeros(len(vocabulary)), START, 1.0, 0.0)
+class _Bag:
+    """A text's hits: sentence and word of each, over the words of a vocabulary."""
+
+    def __init__(self, s: Sentences, vocabulary: np.ndarray):
+        at = np.minimum(np.searchsorted(vocabulary, s.words), len(vocabulary) - 1)
+        hit = vocabulary[at] == s.words
+        pair = np.unique(s.sentence[hit].astype(np.int64) * len(vocabulary) + at[hit])
+        self.sentence, self.word, self.n = pair // len(vocabulary), pair % len(vocabulary), len(s.text_of)
+
+
+def _learn(texts: list[Sentences], labels: list[int], weights: list[float], rng: np.random.Generator) -> Model:
+    """Vocabulary, word weights and bias; not calibrated."""
+    vocabulary = _telling([t.words for t in texts], labels)
+    w, bias = np.zeros(len(vocabulary)), START
     if not len(vocabulary):
-        share = float(np.average(labels, weights=weights)) if labels else 0.0
-        return Model(vocabulary, model.weights, START, 0.0, float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
-    sparse = []
-    for b in bags:
-        at = np.minimum(np.searchsorted(vocabulary, b.words), len(vocabulary) - 1)
-        hit = vocabulary[at] == b.words
-        pair = np.unique(b.sentence[hit].astype(np.int64) * len(vocabulary) + at[hit])
-        sparse.append((pair // len(vocabulary), pair % len(vocabulary), len(b.text_of)))
-    w, bias = model.weights, START
+        return Model(vocabulary, w, bias, 1.0, 0.0)
+    bags = [_Bag(t, vocabulary) for t in texts]
     gw, gb = np.full(len(w), 1e-3), 1.0
     scale = np.array(weights) / max(np.mean(weights), 1e-9)
     # Equal say for both labels while the words are learned; calibration restores the shares.
     for c in (0, 1):
-        mine = [i for i in taught if labels[i] == c]
-        scale[mine] *= len(taught) / (2 * max(1e-9, scale[mine].sum()))
+        mine = [i for i, y in enumerate(labels) if y == c]
+        scale[mine] *= len(texts) / (2 * max(1e-9, scale[mine].sum()))
     for _ in range(EPOCHS):
-        for i in rng.permutation(taught).tolist():
-            s, v, n = sparse[i]
-            if not n:
+        for i in rng.permutation(len(bags)).tolist():
+            bag = bags[i]
+            if not bag.n:
                 continue
-            z = np.bincount(s, weights=w[v], minlength=n) + bias
+            z = np.bincount(bag.sentence, weights=w[bag.word], minlength=bag.n) + bias
             p = _sigmoid(z)
-            clean = float(-np.logaddexp(0, z).sum())
             if labels[i]:
+                clean = float(-np.logaddexp(0, z).sum())
                 g = -p * (np.exp(clean) / max(-np.expm1(clean), 1e-9))
             else:
                 g = p
             g = g * scale[i]
-            step = g[s]
-            vs, inv = np.unique(v, return_inverse=True)
-            grad = np.bincount(inv, weights=step) + DECAY * w[vs]
-            gw[vs] += grad * grad
-            w[vs] -= RATE * grad / np.sqrt(gw[vs])
+            words, inverse = np.unique(bag.word, return_inverse=True)
+            grad = np.bincount(inverse, weights=g[bag.sentence]) + DECAY * w[words]
+            gw[words] += grad * grad
+            w[words] -= RATE * grad / np.sqrt(gw[words])
             total = float(np.clip(g.sum(), -1, 1))
             gb += total * total
             bias = min(-2.0, bias - RATE * 0.2 * total / np.sqrt(gb))
-    model.bias = bias
-    held = [i for i in range(len(texts)) if i % 5 == 4]
-    x = np.array([_logit_of(np.array([-np.logaddexp(0, model.sentence_logits(bags[i])).sum()]))[0] for i in held])
-    y, k = np.array([labels[i] for i in held], float), np.array([weights[i] for i in held])
+    return Model(vocabulary, w, bias, 1.0, 0.0)
+
+
+def _platt(x: np.ndarray, y: np.ndarray, k: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of a ridge-regularised logistic fit, by Newton steps."""
     a, c = 1.0, 0.0
-    if len(set(y.tolist())) == 2:
-        k = k / k.sum()
-        # Newton steps of a ridge-regularised logistic fit of two numbers.
-        for _ in range(50):
-            p = _sigmoid(a * x + c)
-            g = np.array([(k * (p - y) * x).sum() + 1e-4 * (a - 1), (k * (p - y)).sum() + 1e-6 * c])
-            r = k * p * (1 - p)
-            h = np.array([[(r * x * x).sum() + 1e-4, (r * x).sum()], [(r * x).sum(), r.sum() + 1e-6]])
-            d = np.clip(np.linalg.solve(h, g), -2, 2)
-            a, c = a - d[0], c - d[1]
-    model.slope, model.offset = float(max(a, 0.05)), float(c)
+    if len(set(y.tolist())) < 2:
+        return a, c
+    k = k / k.sum()
+    for _ in range(50):
+        p = _sigmoid(a * x + c)
+        g = np.array([(k * (p - y) * x).sum() + 1e-4 * (a - 1), (k * (p - y)).sum() + 1e-6 * c])
+        r = k * p * (1 - p)
+        h = np.array([[(r * x * x).sum() + 1e-4, (r * x).sum()], [(r * x).sum(), r.sum() + 1e-6]])
+        d = np.clip(np.linalg.solve(h, g), -2, 2)
+        a, c = a - d[0], c - d[1]
+    return float(max(a, 0.05)), float(c)
+
+
+def train(texts: list[str], labels: list[int], weights: list[float], seed: int = 11) -> Model:
+    """Fit words on all texts; calibrate on texts that a model of the other folds has not seen."""
+    rng = np.random.default_rng(seed)
+    bags = []
+    for t in texts:
+        raw = np.frombuffer(t.encode(), np.uint8)
+        bags.append(Sentences(raw, np.array([0, len(raw)]), 0, 1))
+    pick = lambda idx: ([bags[i] for i in idx], [labels[i] for i in idx], [weights[i] for i in idx])
+    model = _learn(bags, labels, weights, rng)
+    if not len(model.vocabulary):
+        share = float(np.average(labels, weights=weights)) if labels else 0.0
+        return Model(model.vocabulary, model.weights, START, 0.0, float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
+    seen, x = [], []
+    for fold in range(FOLDS):
+        held = list(range(fold, len(texts), FOLDS))
+        part = _learn(*pick([i for i in range(len(texts)) if i % FOLDS != fold]), rng)
+        x += [_logit_of(np.array([-np.logaddexp(0, part.sentence_logits(bags[i])).sum()]))[0] for i in held]
+        seen += held
+        # One fold is enough once it shows so many toxic texts.
+        if sum(labels[i] for i in seen) >= CALIBRATE:
+            break
+    model.slope, model.offset = _platt(np.array(x), np.array([labels[i] for i in seen], float), np.array([weights[i] for i in seen]))
     return model
 
 
