@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clean
 from ..options import ScanOptions
-from ..sources import dsc
+from ..sources import archives, dsc
 from ..sources.containers import ARC_KINDS, XP3_MAGIC
 from ..sources.loose import NSCRIPT_NAMES, SCRIPT_EXT, in_skipped_dir
 
@@ -98,7 +98,9 @@ def scores(listing: DataFrame, by: list[str] | None = None) -> DataFrame:
     )
     n_script = F.sum(F.when(name.isin(*NSCRIPT_NAMES), 45).when(ext.isin(".nsa", ".sar"), 20).when(name.rlike(r"\Aonscripter.*\.exe\z"), 25).otherwise(0))
     nscripter = F.when(n_script > 0, 30 + n_script).otherwise(0)
-    bgi = add(arc, 85) + add(top & name.rlike(r"\Abgi.*\.exe\z"), 10) + add(top & name.rlike(r"\.bgi\z"), 10) + add(ext == ".ws2", 5) + add(top & (F.substring("head", 1, 16) == F.lit(dsc.MAGIC)), 15)
+    # Only scripts are looked at: the same first bytes in a program or an archive say nothing.
+    packed = top & ext.isin(*sorted(archives.WANTED["bgi"] - {""})) & (F.substring("head", 1, 16) == F.lit(dsc.MAGIC))
+    bgi = add(arc, 85) + add(top & name.rlike(r"\Abgi.*\.exe\z"), 10) + add(top & name.rlike(r"\.bgi\z"), 10) + add(ext == ".ws2", 5) + add(packed, 15)
     hits = F.count_if(ext.isin(*SCRIPT_EXT) & ~in_skipped_dir(rel))
     plain = F.when(hits > 0, 8 + 3 * F.least(F.lit(5), hits)).otherwise(0)
     by = by or []

@@ -41,6 +41,16 @@ def test_query_equals_sql(spark, duck, name):
     compare(spark, duck, queries.QUERIES[name], queries.ORACLES[name])
 
 
+def test_engine_scores_of_games_that_lack_files(spark, tmp_path):
+    # Users with one to three events: most have a few of the eighteen files only.
+    rows = [(k, k // 3) for k in range(54)] + [(100 + 18 * k + n, 100 + k) for k in range(6) for n in (5, 8, 14)[: k % 3 + 1]] + [(900 + n, 200 + n) for n in range(18)]
+    spark.createDataFrame(rows, "event_id long, user_id long").write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    got = queries.QUERIES["engine_scores"](spark, str(tmp_path)).select("game", "key", "score")
+    assert sorted(map(tuple, got.collect())) == sorted(con.execute(queries.ORACLES["engine_scores"]).fetchall())
+
+
 def test_entry_has_rows(spark):
     import __spark_entry__ as entry
 

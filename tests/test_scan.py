@@ -168,6 +168,16 @@ def test_dsc():
                     dsc.unpack(broken)
 
 
+def test_packed_script_counts_by_its_extension(spark):
+    from linequarry.plans import registry
+    from linequarry.sources import dsc
+
+    files = [("program", "KrKr2.exe"), ("archive", "arc.nsa"), ("kag", "a.ks"), ("bare", "d"), ("deep", "x/d.dsc"), ("dsc", "D.DSC"), ("ws2", "m.ws2"), ("text", "t.txt"), ("two", "a.dsc"), ("two", "a.exe")]
+    listing = spark.createDataFrame([(game, rel, 100, bytearray(dsc.MAGIC)) for game, rel in files], "game string, rel string, length long, head binary")
+    got = {r["game"]: r["score"] for r in registry.scores(listing, ["game"]).filter("key = 'bgi'").collect()}
+    assert got == {"dsc": 15, "ws2": 20, "text": 15, "two": 15}
+
+
 def test_cli(spark, game, tmp_path, capsys):
     assert cli.main(["scan", str(game), "-o", str(tmp_path / "o.csv"), "-f", "csv", "--quiet"], spark) == 0
     assert (tmp_path / "o.csv").read_bytes().startswith(b"\xef\xbb\xbf")
