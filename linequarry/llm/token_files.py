@@ -2,9 +2,11 @@
 
 A text is encoded as the tokenizers library does with add_special_tokens=False. As its
 pre-tokenizer never joins text over white space, or over the border from a letter to ASCII
-punctuation, texts are cut there first, every distinct piece (by its bytes) is encoded
-once, and ids are gathered per document. The library finds the strings of added tokens in
-a text before it cuts it; a word that holds one is given to it whole and as it is.
+punctuation, texts are cut there first. Arrow's dictionary encoding finds the distinct
+pieces (by their bytes) of a chunk of texts, each is looked up or encoded once, and ids
+are gathered per document by the dictionary's indices. The library finds the strings of
+added tokens in a text before it cuts it; a word that holds one is given to it whole and
+as it is.
 
 File format. Documents are dealt to ranges of rising ids; each range becomes one Arrow
 IPC file of record batches with two fixed-size-list columns, `ids` (the narrowest
@@ -47,12 +49,15 @@ SEQUENCE = 1024
 BATCH = 256
 END_ID = 1
 #: Pieces in each of the two generations that a worker remembers with their ids.
-CACHE_ENTRIES = 150_000
+CACHE_ENTRIES = 300_000
+#: Text that is cut into pieces at once: the more of it, the fewer look-ups, as words repeat.
+CHUNK_BYTES = 3 << 20
 #: Pieces in one call of the library.
 CALL = 4000
 #: Pieces that are one pre-token for certain: nothing but letters up to U+00FF, in UTF-8.
 _PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
 
+_BLANKS = np.flatnonzero(tk._SPACE).astype(np.uint8).tobytes()
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[97:123] = True
 _PUNCT = np.zeros(256, dtype=bool)
@@ -66,22 +71,28 @@ class _Pieces(tk.Words):
         super().__init__(data, offsets, lo, hi, lower=True)
         self.word_start, self.word_end = self.start, self.end
         text = self.data
-        cut = np.zeros(len(text) + 1, dtype=bool)
-        if len(text) > 2:
-            after = _LETTER[text[:-1]]
-            latin = (text[:-1] >= 0x80) & (text[:-1] != 0x97) & (text[:-1] != 0xB7)
-            latin[1:] &= text[:-2] == 0xC3
-            latin[0] = False
-            cut[1:-1] = (after | latin) & _PUNCT[text[1:]]
-        # A cut at a word's own start changes nothing.
-        cut[self.start] = False
-        more = np.flatnonzero(cut)
-        more = more[np.searchsorted(self.start, more, side="right") > np.searchsorted(self.end, more, side="right")]
-        row = self.doc[np.searchsorted(self.start, more, side="right") - 1] if len(more) else more
-        self.start = np.sort(np.concatenate([self.start, more]))
-        self.end = np.sort(np.concatenate([self.end, more]))
-        self.counts = self.counts + np.bincount(row, minlength=hi - lo)
-        self.first = np.concatenate([[0], np.cumsum(self.counts)])
+        cut = np.flatnonzero(_PUNCT[text])
+        cut = cut[cut > 0]
+        before = text[cut - 1]
+        latin = (before >= 0x80) & (before != 0x97) & (before != 0xB7) & (cut > 1) & (text[cut - 2] == 0xC3)
+        cut = cut[_LETTER[before] | latin]
+        # Neither side of a cut is blank, so it lies inside a word, or is a word's own start where a row begins.
+        edge = np.zeros(len(text) + 1, dtype=bool)
+        edge[self.start] = True
+        cut = cut[~edge[cut]]
+        edge[cut] = True
+        self.start = np.flatnonzero(edge)
+        edge[:] = False
+        edge[self.word_end] = edge[cut] = True
+        self.end = np.flatnonzero(edge)
+        self.first = np.searchsorted(self.start, offsets[lo : hi + 1] - offsets[lo])
+        self.counts = np.diff(self.first)
+
+    def column(self) -> pa.Array:
+        """The pieces as an Arrow column: together they are all bytes but the blanks."""
+        edges = np.zeros(len(self.start) + 1, np.int64)
+        np.cumsum(self.end - self.start, out=edges[1:])
+        return pa.Array.from_buffers(pa.large_binary(), len(self.start), [None, pa.py_buffer(edges), pa.py_buffer(self.data.tobytes().translate(None, _BLANKS))])
 
 
 class Encoder:
@@ -116,9 +127,12 @@ class Encoder:
             if p[:1] in (b"", b" "):
                 # Words as they stand in the text: the library looks for added tokens itself.
                 self.known[p] = np.array(self.tokenizer.encode(p[1:].decode(), add_special_tokens=False).ids, self.type).tobytes()
-        pieces = [p for p in pieces if p[:1] not in (b"", b" ")]
-        plain = [p for p in pieces if _PLAIN(p)]
-        other = [p for p in pieces if not _PLAIN(p)]
+        plain, other = [], []
+        for p in pieces:
+            if _PLAIN(p):
+                plain.append(p)
+            elif p[:1] not in (b"", b" "):
+                other.append(p)
         for k in range(0, len(plain), CALL):
             part = plain[k : k + CALL]
             ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, self.type)
@@ -135,16 +149,21 @@ class Encoder:
             self._keep(part, np.array(made.ids, self.type), np.concatenate([[0], np.cumsum(counts)]))
 
     def _ids_of(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of distinct pieces, as bytes."""
         if len(self.known) > CACHE_ENTRIES:
             # Pieces that are still in use come over from the older generation one by one.
             self.older, self.known = self.known, {}
         known, older = self.known, self.older
-        missing = list(set(pieces).difference(known))
+        each = list(map(known.get, pieces))
+        places = [i for i, ids in enumerate(each) if ids is None]
+        missing = [pieces[i] for i in places]
         if older:
             known.update({p: older[p] for p in missing if p in older})
             missing = [p for p in missing if p not in older]
         self._learn(missing)
-        return list(map(known.__getitem__, pieces))
+        for i in places:
+            each[i] = known[pieces[i]]
+        return each
 
     def _with_added(self, raw: bytes, text: bytes, pieces: _Pieces) -> list[bytes]:
         """Names of the pieces; the words that hold an added token become one piece, named by a blank and their own bytes."""
@@ -167,15 +186,17 @@ class Encoder:
         pieces = _Pieces(data, offsets, lo, hi)
         if not len(pieces.start):
             return np.zeros(0, self.type), np.zeros(hi - lo, np.int64)
-        text = pieces.data.tobytes()
+        text = pieces.data.tobytes() if self.added else b""
         if any(t in text for t in self.added):
-            names = self._with_added(data[int(offsets[lo]) : int(offsets[hi])].tobytes(), text, pieces)
+            names = pa.array(self._with_added(data[int(offsets[lo]) : int(offsets[hi])].tobytes(), text, pieces), pa.large_binary())
         else:
-            names = list(map(text.__getitem__, map(slice, pieces.start.tolist(), pieces.end.tolist())))
-        each = self._ids_of(names)
-        size = np.fromiter(map(len, each), np.int64, len(each)) // self.type.itemsize
-        edges = np.concatenate([[0], np.cumsum(size)])[pieces.first]
-        return np.frombuffer(b"".join(each), self.type), np.diff(edges)
+            names = pieces.column()
+        named = names.dictionary_encode()
+        each = pa.array(self._ids_of(named.dictionary.to_pylist()), pa.large_binary()).take(named.indices)
+        _, at, raw = each.buffers()
+        edges = np.frombuffer(at, np.int64, len(each) + 1)[pieces.first] // self.type.itemsize
+        ids = np.frombuffer(raw, self.type, int(edges[-1])) if edges[-1] else np.zeros(0, self.type)
+        return ids, np.diff(edges)
 
 
 _ENCODERS: dict[int, Encoder] = {}
@@ -266,8 +287,8 @@ def _writing(spec, folder: str, length: int, end_id: int):
                     if writer is not None:
                         done.append((int(now), *writer.close()))
                     now, writer = parts[a], SequenceWriter(folder, int(parts[a]), encoder.type, length, end_id)
-                for lo, hi in tk.row_chunks(offsets[a : z + 1]):
-                    if tk.is_long(offsets, a + lo, a + hi):
+                for lo, hi in tk.row_chunks(offsets[a : z + 1], CHUNK_BYTES):
+                    if hi - lo == 1 and tk.is_long(offsets, a + lo, a + hi):
                         made = [encoder.encode(data, np.array(span), 0, 1)[0] for span in tk.spans(data, int(offsets[a + lo]), int(offsets[a + hi]))]
                         ids = np.append(np.concatenate(made), encoder.type.type(end_id))
                         counts = np.array([len(ids)], np.int64)
@@ -314,6 +335,13 @@ class SequenceReader:
         opened = [pa.memory_map(f"{base}/{file}{x}") if local else self.store.open_input_file(f"{base}/{file}{x}") for x in (".arrow", ".docs.arrow")]
         self.sequences, self.docs = (pa.ipc.open_file(x) for x in opened)
         self.length, self.batch = (int(self.sequences.schema.metadata[k]) for k in (b"length", b"batch"))
+        self.held: tuple[int, np.ndarray] | None = None
+
+    def _ids(self, k: int) -> np.ndarray:
+        """Ids of record batch k, its sequences one after the other, as a view; the last one is held, as documents follow each other."""
+        if self.held is None or self.held[0] != k:
+            self.held = k, self.sequences.get_batch(k).column(0).values.to_numpy()
+        return self.held[1]
 
     def sequence(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
         """Ids and mask of one sequence; both are views of the file (a numpy mask of bytes would be a copy)."""
@@ -325,10 +353,8 @@ class SequenceReader:
         """Tokens start..start+count of the file's stream, as views of one batch after the other."""
         width = self.batch * self.length
         while count > 0:
-            batch = self.sequences.get_batch(start // width)
             at = start % width
-            # The buffer holds the sequences of a batch one after the other.
-            got = batch.column(0).values.to_numpy()[at : at + count]
+            got = self._ids(start // width)[at : at + count]
             if not len(got):
                 raise ValueError("a document's tokens end beyond its file")
             yield got
@@ -355,7 +381,7 @@ def _reading(folder: str):
                 for doc_id, start, n in reader.documents():
                     crc = 0
                     for part in reader.parts(start, n):
-                        crc = zlib.crc32(part.astype("<u4").tobytes(), crc)
+                        crc = zlib.crc32(part.astype("<u4"), crc)
                     rows.append((doc_id, base + start, n, crc, file))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 

@@ -374,6 +374,31 @@ def test_token_files(spark):
     assert files == [] and token_files.read(spark, folder, files).collect() == []
 
 
+def test_token_files_work_grows_with_distinct_pieces(spark, monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    with open(path, encoding="utf-8") as f:
+        encoder = token_files.Encoder(f.read())
+    # Rows begin with punctuation and end in letters, so that a border of rows looks like a cut.
+    texts = ["", "a", "a.", ".a", "é.", ".", " ", "Ünïcode,x"] + [f".wort{k % 700} d'été, Ä{k % 90}; ß" for k in range(40_000)] + ["x <|endoftext|>y"]
+    data, offsets = tk.string_buffers(pa.array(texts))
+    looked, find = [], encoder._ids_of
+    monkeypatch.setattr(encoder, "_ids_of", lambda pieces: looked.extend(pieces) or find(pieces))
+    for last in (len(texts) - 1, len(texts)):
+        looked.clear()
+        ids, counts = encoder.encode(data, offsets, 0, last)
+        assert len(looked) == len(set(looked)) < 1000
+        want = [e.ids for e in encoder.tokenizer.encode_batch(texts[:last], add_special_tokens=False)]
+        assert counts.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
+
+    folder, files = token_files.write(table(spark, [(k, f"wort{k} und", None) for k in range(500)]), path, length=8)
+    reader = token_files.SequenceReader(folder, files[0]["file"])
+    asked, sequences = [], reader.sequences
+    monkeypatch.setattr(reader, "sequences", type("Counted", (), {"get_batch": lambda self, k: asked.append(k) or sequences.get_batch(k)})())
+    docs = list(reader.documents())
+    assert sum(len(reader.span(start, n)) for _, start, n in docs) == files[0]["n_tokens"]
+    assert len(asked) == sequences.num_record_batches < len(docs)
+
+
 def test_byte_bpe(spark):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     ranks = byte_bpe.read_ranks(path)
